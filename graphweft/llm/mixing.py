@@ -78,8 +78,12 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", copy_col: str = "copy", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the plan takes them, numbered from 1 in ``copy_col``.
 
+    A table that has a column of that name gets one with ``_`` added.
+
     Only the table of sources is joined to the rows, so texts are not shuffled for it.
     """
+    while copy_col in docs.columns:
+        copy_col += "_"
     sizes = docs.groupBy(quoted(source_col).cast("string").alias("source")).agg(F.sum(word_count(quoted(text_col))).alias("source_size"))
     aims = checkpoint(targets(sizes, weights, share, cap)).select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
     if aims.count() <= 100_000:  # one short row per source; beyond that, a join that splits hot sources
@@ -96,12 +100,12 @@ with sized as (
 ), sources as (
     select source, sum(size)::bigint as source_size from sized group by source
 ), limits as (
-    select source, source_size, row_number() over (order by source is null, source) - 1 as at,
+    select source, source_size, row_number() over (order by source is null, source) - 1 as pos,
         ([5, 2, 1])[1 + ((row_number() over (order by source is null, source) - 1) % 3)::int]::bigint as weight, (sum(source_size) over ())::bigint as total
     from sources
 ), levels as (
-    select *, (1.5::double * total - 2.0::double * coalesce((sum(source_size) over (order by source_size::double / weight, at rows between unbounded preceding and 1 preceding))::bigint, 0))
-        / (sum(weight) over (order by source_size::double / weight, at rows between current row and unbounded following))::bigint as level
+    select *, (1.5::double * total - 2.0::double * coalesce((sum(source_size) over (order by source_size::double / weight, pos rows between unbounded preceding and 1 preceding))::bigint, 0))
+        / (sum(weight) over (order by source_size::double / weight, pos rows between current row and unbounded following))::bigint as level
     from limits
 ), aims as (
     select source, source_size, round(least(2.0::double * source_size, coalesce(weight * (select min(level) from levels where level <= 2.0::double * source_size / weight), 2.0::double * source_size)), 6) as target

@@ -159,3 +159,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     found = reps.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.when(F.col("component").isNull() | (F.col("rep") < F.col("component")), F.col("rep")).otherwise(F.col("component")).alias("component"))
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = CAP) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group of near-duplicates.
+
+    The row with the smallest id stays (null before all others), of equal ids that with the
+    lower MD5 of its text, of rows equal in both any one.
+    """
+    mark = F.md5(utf8(docs[f"`{text_col}`"]))
+    keyed = docs.select(F.struct(docs[f"`{id_col}`"].alias("id"), mark.alias("mark")).alias("key"), docs[f"`{text_col}`"].alias("text"))
+    found = near_duplicates(keyed, "key", "text", width, cap).where("key = component_id")
+    kept = checkpoint(found.groupBy(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark")).agg(F.count("*").alias("__n")))
+    out = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (mark == kept["__mark"]), "left_semi")
+    if not kept.where("__n > 1").isEmpty():
+        out = out.withColumn("__once", F.md5(utf8(F.col(f"`{text_col}`")))).dropDuplicates([id_col, "__once"]).drop("__once")
+    return out
