@@ -34,9 +34,10 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     Sources by code point, null last, have ``weights`` over and over and divide ``share``
     times the total size; no target exceeds ``cap`` times its source's size, and what is
     over goes to the others by weight. So each target is the lower of its limit and its
-    weight times one common level: with sources in order of limit over weight, the level is
-    that of the first source whose limit is not reached once all before it are full. The
-    two windows hold one row per source.
+    weight times one common level. With sources in order of limit over weight, filling all
+    before a source leaves it a level that rises up to the first source that isn't full and
+    falls from there on, so the common level is the highest. The windows hold one row per
+    source.
     """
     ranked = sizes.selectExpr("source", "source_size", "row_number() over (order by source is null, source) - 1 as at")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
@@ -48,8 +49,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
             "sum(weight) over (order by source_size / weight, at rows between current row and unbounded following) as open",
         )
         .selectExpr("*", f"({share}D * total - {cap}D * full) / open as level")
-        .selectExpr("*", f"min(case when level <= {cap}D * source_size / weight then level end) over () as common")
-        .selectExpr("source", "source_size", f"round(least({cap}D * source_size, coalesce(common * weight, {cap}D * source_size)), 6) as target")
+        .selectExpr("*", f"max(level) over () as common")
+        .selectExpr("source", "source_size", f"round(least({cap}D * source_size, common * weight), 6) as target")
     )
 
 
@@ -108,7 +109,7 @@ with sized as (
         / (sum(weight) over (order by source_size::double / weight, pos rows between current row and unbounded following))::bigint as level
     from limits
 ), aims as (
-    select source, source_size, round(least(2.0::double * source_size, coalesce(weight * (select min(level) from levels where level <= 2.0::double * source_size / weight), 2.0::double * source_size)), 6) as target
+    select source, source_size, round(least(2.0::double * source_size, (select max(level) from levels) * weight), 6) as target
     from levels
 ), rates as (
     select *, case when source_size > 0 then target / source_size else 0.0::double end as rate from aims
