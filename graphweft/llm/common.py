@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from wherever the driver did."""
+    """Let Python workers import this package from wherever the driver did, and get batches of a few MB.
+
+    Spark sends up to 64 MB at a time by default; texts, their words and the results of a
+    batch are in memory together, in every worker, so the size of a batch is what bounds it.
+    A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
