@@ -53,7 +53,7 @@ _FUZZY = ["natin_3", "red wdget", "regon_1", "smal ring"]
 
 
 @query(
-    _values(_FUZZY).replace("with ", "with recursive ", 1) + """, primary_vals as (select id, label, value from vals where label <> 'Order'),
+    _values(_FUZZY).replace("with ", "with recursive ", 1) + """, primary_vals as (select id, label, lower(value) as value from props where (key = 'name' or (label = 'Order' and key = 'priority')) and value is not null),
     banded as (select candidate, id, label, value from (select *, row_number() over (partition by candidate order by id) as rk from names join primary_vals on length(value) between greatest(length(candidate) - length(candidate) // 2, 1) and length(candidate) + length(candidate) // 2) where rk <= 200),
     pairs as (select distinct candidate, value from banded),
     lcs as (select candidate, value, 0 as i, list_transform(range(0, length(value) + 1), lambda x: 0) as line from pairs union all
