@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often ``use`` names it, lambdas within it included."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tokens(text: Column) -> Column:
     clean = F.trim(F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9\s\-]", " ")))
     return F.filter(F.split(clean, r"\s+"), lambda x: x != "")
@@ -50,11 +57,11 @@ def tokens(text: Column) -> Column:
 
 def keywords(text: Column, stop_words=STOP_WORDS) -> Column:
     """Candidate names: three, two and single words in a row, of the words that aren't stop words; of all words if nothing else is left."""
-    every = tokens(text)
-    content = F.filter(every, lambda x: ~F.array_contains(strings(stop_words), x))
-    base = F.when(F.size(content) > 0, content).otherwise(every)
-    grams = lambda n: F.when(F.size(base) >= n, F.transform(F.sequence(F.lit(1), F.size(base) - (n - 1)), lambda i: F.array_join(F.slice(base, i, n), " "))).otherwise(strings([]))
-    return F.array_distinct(F.concat(grams(3), grams(2), grams(1)))
+    content = lambda words: F.filter(words, lambda x: ~x.isin(list(stop_words)))
+    gram = lambda words, n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(strings([]))
+    every = lambda words: F.array_distinct(F.concat(gram(words, 3), gram(words, 2), words))
+    chosen = lambda words: let(content(words), lambda c: F.when(F.size(c) > 0, c).otherwise(words))
+    return let(tokens(text), lambda words: let(chosen(words), every))
 
 
 def characters(text: Column) -> Column:
@@ -63,13 +70,15 @@ def characters(text: Column) -> Column:
 
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, row by row of the dynamic programme."""
-    bs = characters(b)
 
-    def row(before: Column, c: Column) -> Column:
-        cell = lambda done, j: F.array_append(done, F.when(F.get(bs, j - 1) == c, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(done, -1))))
-        return F.when(F.size(bs) > 0, F.aggregate(F.sequence(F.lit(1), F.size(bs)), F.array(F.lit(0)), cell)).otherwise(before)
+    def over(bs: Column) -> Column:
+        def row(before: Column, c: Column) -> Column:
+            cell = lambda done, j: F.array_append(done, F.when(F.get(bs, j - 1) == c, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(done, -1))))
+            return F.when(F.size(bs) > 0, F.aggregate(F.sequence(F.lit(1), F.size(bs)), F.array(F.lit(0)), cell)).otherwise(before)
+
+        return F.element_at(F.aggregate(characters(a), F.array_repeat(F.lit(0), F.size(bs) + 1), row), -1)
 
-    return F.element_at(F.aggregate(characters(a), F.array_repeat(F.lit(0), F.size(bs) + 1), row), -1)
+    return let(characters(b), over)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
