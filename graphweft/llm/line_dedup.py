@@ -52,7 +52,8 @@ def _frequent(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_ch
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([h for x in found for h in x], pa.binary())], names=["doc", "hash"])
 
     keys = checkpoint(map_batches(docs.select(quoted(id_col).alias("id"), utf8(quoted(text_col)).alias("text")), run, f"doc {kind}, hash binary"))
-    often = keys.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash")
+    # a table of its own, so that both sides of the join are dealt anew and Spark can split a line that very many rows hold
+    often = checkpoint(keys.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash"))
     return keys.join(often, "hash").groupBy("doc").agg(F.collect_set("hash").alias("hashes"))
 
 
