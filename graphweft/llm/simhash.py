@@ -158,6 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = reps.join(roots, "fp")
     least = linked.groupBy("root").agg(F.min("rep").alias("component"))
     found = reps.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.when(F.col("component").isNull() | (F.col("rep") < F.col("component")), F.col("rep")).otherwise(F.col("component")).alias("component"))
+    found = checkpoint(found)  # dealt anew like the prints, so that Spark can split a fingerprint that very many rows have
     return prints.join(found, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
