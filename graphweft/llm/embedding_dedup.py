@@ -29,7 +29,7 @@ from .common import checkpoint, map_batches, prepare, quoted, spanning_forest
 from .components import connected_components
 
 #: Vectors a cell aims at; rows of a block; vectors the pivots are chosen from; pivots at most.
-CELL, BLOCK, SAMPLE, MAX_PIVOTS = 4_096, 4_096, 8_192, 1_024
+CELL, BLOCK, SAMPLE, MAX_PIVOTS = 2_048, 2_048, 8_192, 1_024
 _SLACK = 1e-9  # on bounds only: rounding may bring a vector to a cell too many, never too few
 
 
@@ -146,7 +146,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     each row gets its result. An empty table gives an empty result.
     """
     prepare(vectors.sparkSession)
-    rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats are widened where they are compared, not where they are moved
+    rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).cast(kind).alias("v"))
     own = rows.where("id is not null").groupBy("id").agg(F.min("v").alias("v"))
     good = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     usable = own.where(good)
@@ -233,5 +235,5 @@ def _join_dim(part: DataFrame, n: int, threshold: float, cell: int, block: int,
         b = pa.array([None] * len(some) + [f[1] for f in forest], pa.int64())
         return pa.table({"a": pa.array(a, pa.int64()), "b": b, "linked": pa.array(np.concatenate([counts[some], np.zeros(len(forest), np.int64)]), pa.int64())})
 
-    placed = part.select("rep", "n", "v").mapInArrow(run, "cell int, low int, high int, second boolean, rep long, n long, v array<double>")
+    placed = part.select("rep", "n", "v").mapInArrow(run, f"cell int, low int, high int, second boolean, rep long, n long, v {part.schema["v"].dataType.simpleString()}")
     return placed.groupBy("cell", "low", "high").applyInArrow(compare, "a long, b long, linked long")
