@@ -147,3 +147,27 @@ def schema_diff(known: DataFrame, seen: DataFrame, key: str = "name", threshold:
     alike = new.join(F.broadcast(old.select(F.col("old").alias("other")))).where(indel_ratio(F.lower("name"), F.col("other")) >= threshold).groupBy("name").agg(F.min("other").alias("alias_of"))
     fresh = new.join(alike, "name", "left").select("name", F.when(F.col("alias_of").isNull(), "NEW").otherwise("ALIAS").alias("change"), "n")
     return fresh.unionByName(joined.where("old is not null").select("name", F.lit("KNOWN").alias("change"), (F.col("n") + F.col("n_old")).alias("n")))
+
+
+def subtypes(hierarchy: DataFrame, of: str, recursive: bool = False) -> DataFrame:
+    """(type, depth) beneath a type of ``type_hierarchy``; only the next level unless ``recursive``."""
+    below = hierarchy.where(F.col("ancestor") == of)
+    return (below if recursive else below.where("depth = 1")).select("type", "depth")
+
+
+def supertypes(hierarchy: DataFrame, of: str, recursive: bool = False) -> DataFrame:
+    above = hierarchy.where(F.col("type") == of)
+    return (above if recursive else above.where("depth = 1")).select("ancestor", "depth")
+
+
+def depth_of(depths: DataFrame, of: str) -> int:
+    """Depth of a type of ``type_depths``; -1 for an unknown one."""
+    r = depths.where(F.col("type") == of).first()
+    return r.depth if r else -1
+
+
+def diff_summary(diff: DataFrame) -> str:
+    """How many types a ``schema_diff`` changes, and the new ones, in a line."""
+    rows = {r.change: (r.n, r.names) for r in diff.groupBy("change").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names")).collect()}
+    changed = rows.get("NEW", (0, []))[0] + rows.get("ALIAS", (0, []))[0]
+    return f"{changed} changes; new: {', '.join(rows.get('NEW', (0, []))[1]) or 'none'}"

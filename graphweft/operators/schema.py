@@ -19,6 +19,8 @@ heading subject description summary
 # What a property's name, uniqueness and type add to its score, in hundredths, and the score it must exceed.
 NAME_POINTS, UNIQUE_POINTS, STRING_POINTS, ENOUGH = 40, 30, 30, 50
 SAMPLES = 3
+#: Names that the wider scorer also takes for identifying ones.
+WIDER_NAMES = [*NAME_PATTERNS, "email"]
 
 
 def labels(graph: Graph) -> DataFrame:
@@ -68,9 +70,9 @@ def property_profile(graph: Graph, approximate: bool = False) -> DataFrame:
     return out.select("label", "key", "n_values", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct"), F.round(ratio, 6).alias("unique_ratio"), F.coalesce("type", F.lit("Unknown")).alias("type"), sample.alias("sample"))
 
 
-def searchable(profile: DataFrame) -> DataFrame:
+def searchable(profile: DataFrame, names: list[str] = NAME_PATTERNS) -> DataFrame:
     """(label, key): properties that score over the mark by name, uniqueness and type; of a label without any, its first String."""
-    named = F.array_contains(strings(NAME_PATTERNS), plain_key(F.col("key"))) | F.array_contains(strings(NAME_PATTERNS), F.lower("key"))
+    named = F.array_contains(strings(names), plain_key(F.col("key"))) | F.array_contains(strings(names), F.lower("key"))
     points = F.when(named, NAME_POINTS).otherwise(0) + F.when(F.col("unique_ratio") > 0.5, UNIQUE_POINTS).otherwise(0) + F.when(F.col("type") == "String", STRING_POINTS).otherwise(0)
     scored = profile.select("label", "key", "type", points.alias("points"))
     best = scored.groupBy("label").agg(F.max("points").alias("best"), F.min(F.when(F.col("type") == "String", F.col("key"))).alias("first"))
@@ -110,3 +112,17 @@ def constraints(graph: Graph) -> DataFrame:
     """MANDATORY where every node of the label has a value, else OPTIONAL."""
     have = graph.properties.groupBy("label", "key").agg(F.count("value").alias("n_values"))
     return have.join(node_counts(graph), "label").select("label", "key", F.when(F.col("n_values") == F.col("n"), "MANDATORY").otherwise("OPTIONAL").alias("constraint"))
+
+
+def cardinality_bounds(graph: Graph) -> DataFrame:
+    """(rel_type, source_label, target_label, notation): ``[least..most] edges out of a source and into a target``; the least is 0 where some node of the label has none."""
+    of = ["rel_type", "source_label", "target_label"]
+    n = node_counts(graph)
+
+    def side(end: str) -> DataFrame:
+        degree = graph.edges.groupBy(*of, f"{end}_id").agg(F.count("*").alias("d")).groupBy(*of).agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("have"))
+        sized = degree.join(n.select(F.col("label").alias(f"{end}_label"), "n"), f"{end}_label", "left")
+        low = F.when(F.col("have") < F.col("n"), 0).otherwise(F.col("low"))
+        return sized.select(*of, F.concat(F.lit("["), low.cast("string"), F.lit(".."), F.col("high").cast("string"), F.lit("]")).alias(end))
+
+    return side("source").join(side("target"), of).select(*of, F.concat("source", F.lit(" -> "), "target").alias("notation"))

@@ -135,3 +135,11 @@ def schema_diff(spark, sf_dir):
     old = p.where("p_size <= 25 and p_type < 'P'").groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("n"))
     seen = p.groupBy(F.when(F.col("p_size") > 40, F.concat("p_type", F.lit("S"))).otherwise(F.col("p_type")).alias("name")).agg(F.count("*").alias("n"))
     return c.schema_diff(old, seen, threshold=0.9)
+
+
+@query("with recursive parents as (select 'N' || n_nationkey::varchar as type, 'R' || n_regionkey::varchar as parent from nation union all select 'R' || r_regionkey::varchar, case when r_regionkey > 0 then 'R' || (r_regionkey - 1)::varchar end from region), up as (select type, parent as ancestor, 1 as depth from parents where parent is not null union all select up.type, p.parent, up.depth + 1 from up join parents p on p.type = up.ancestor where p.parent is not null) select p.type, coalesce(max(depth), 0)::int as depth from (select distinct type from parents) p left join up using (type) group by 1")
+def type_depths(spark, sf_dir):
+    nation, region = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
+    name = lambda p, c_: F.concat(F.lit(p), F.col(c_).cast("string"))
+    up = F.when(F.col("r_regionkey") > 0, F.concat(F.lit("R"), (F.col("r_regionkey") - 1).cast("string")))
+    return c.type_depths(nation.select(name("N", "n_nationkey").alias("type"), name("R", "n_regionkey").alias("parent")).unionAll(region.select(name("R", "r_regionkey"), up)))

@@ -67,6 +67,15 @@ def edge_cardinality(spark, sf_dir):
     return schema.cardinality(from_tables(spark, sf_dir))
 
 
+def _bound(end: str) -> str:
+    return f"{end}s as (select rel_type, source_label, target_label, case when count(*) < any_value(n.n) then 0 else min(d) end as low, max(d) as high from (select rel_type, source_label, target_label, {end}_id, count(*) as d from edges group by all) join n on label = {end}_label group by all)"
+
+
+@query(f"with {NODES}, {EDGES}, n as (select label, count(*) as n from nodes group by 1), {_bound('source')}, {_bound('target')} select rel_type, source_label, target_label, '[' || s.low || '..' || s.high || '] -> [' || t.low || '..' || t.high || ']' as notation from sources s join targets t using (rel_type, source_label, target_label)")
+def edge_cardinality_bounds(spark, sf_dir):
+    return schema.cardinality_bounds(from_tables(spark, sf_dir))
+
+
 @query(f"with {NODES}, {PROPS}, have as (select label, key, count(value) as n_values from props group by 1, 2), n as (select label, count(*) as n from nodes group by 1) select label, key, case when n_values = n then 'MANDATORY' else 'OPTIONAL' end as constraint from have join n using (label)".replace("as constraint", 'as "constraint"'))
 def property_constraint(spark, sf_dir):
     return schema.constraints(from_tables(spark, sf_dir))

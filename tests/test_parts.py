@@ -145,3 +145,67 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r.window_start), r.key, r.n) for r in spark.table("counts").collect()) == [("2024-01-01 00:00:00", "a", 2), ("2024-01-01 01:00:00", "b", 1)]
+
+
+def test_cardinality_and_wider_names(spark):
+    from graphweft.operators import schema
+
+    g = graphs.build(spark, [("a", "X", {}), ("b", "X", {}), ("c", "Y", {}), ("d", "Y", {})], [("a", "R", "c"), ("a", "R", "d")])
+    assert schema.cardinality(g).first().cardinality == "1:N"
+    assert schema.cardinality_bounds(g).first().notation == "[0..2] -> [1..1]"
+    profile = spark.createDataFrame([("L", "email", "Integer", 0.9), ("L", "age", "Integer", 0.1)], "label string, key string, type string, unique_ratio double")
+    assert schema.searchable(profile).count() == 0 and schema.searchable(profile, schema.WIDER_NAMES).first().key == "email"
+
+
+def test_hierarchy_lookups(spark):
+    h = c.type_hierarchy(spark.createDataFrame([("doctor", "person"), ("person", "entity"), ("drug", "entity")], "type string, parent string"))
+    assert {r.type for r in c.subtypes(h, "entity").collect()} == {"person", "drug"}
+    assert {r.type for r in c.subtypes(h, "entity", True).collect()} == {"person", "drug", "doctor"}
+    assert [r.ancestor for r in c.supertypes(h, "doctor").collect()] == ["person"]
+    depths = c.type_depths(spark.createDataFrame([("child", "root")], "type string, parent string"))
+    assert (c.depth_of(depths, "root"), c.depth_of(depths, "child"), c.depth_of(depths, "unknown")) == (0, 1, -1)
+    known, seen = (spark.createDataFrame(x, "name string, n long") for x in ([("Drug", 5)], [("Hospital", 1), ("Drug", 2)]))
+    assert c.diff_summary(c.schema_diff(known, seen)) == "1 changes; new: Hospital"
+
+
+def test_staged_build(spark):
+    from graphweft.plans import build
+    from graphweft.plans.model import Offline
+
+    model = Offline(lambda prompt: build.heuristic_reply(prompt[len(build.PROMPT) :]))
+    docs = spark.createDataFrame([(1, "Aspirin treats headache. aspirin treats HEADACHE. Ibuprofen treats fever.")], "doc_id long, text string")
+    r = build.run(spark, docs, model)
+    assert r.stages_completed == ["extraction", "induction", "resolution", "build", "discovery"] and not r.errors
+    assert r.triples.count() == 3 and r.resolved.count() == 2 and r.discovered["total_relationships"] == 2
+    r = build.run(spark, spark.createDataFrame([(1, "")], "doc_id long, text string"), model)
+    assert r.stages_completed == [] and "No triples extracted" in r.report()
+
+
+def test_service(spark, tmp_path):
+    from graphweft.plans.model import Offline
+    from graphweft.plans.service import Service, ServiceError
+
+    path = str(tmp_path / "g")
+    graphs.build(spark, sample.NODES, sample.RELATIONSHIPS).save(path)
+    service = Service(Catalog(spark, str(tmp_path / "c")), str(tmp_path / "m"), Offline(lambda p: '["What does aspirin cause?"]' if "JSON array" in p else "Nausea."))
+    made = service.connect(path, "med")
+    assert service.health()["status"] == "healthy" and len(service.graphs()["graphs"]) == 1
+    assert service.graph(made["kg_id"])["schema"] == service.schema(made["kg_id"])
+    r = service.query("What does aspirin cause?", made["kg_id"])
+    assert "Nausea" in r["entities"] and r["answer"] == "Nausea."
+    r = service.agent_query("What does aspirin cause?", made["kg_id"])
+    assert r["answer"] == "Nausea." and service.memory_stats(made["kg_id"])["total_memories"] == 1
+    assert service.recall("What does aspirin cause?", made["kg_id"])["results"][0]["similarity"] == 1.0
+    for call, status in ((lambda: service.delete("default"), 400), (lambda: service.graph("none"), 404), (lambda: service.connect(path + "x"), 400)):
+        with pytest.raises(ServiceError) as e:
+            call()
+        assert e.value.status == status
+    assert service.delete(made["kg_id"])["status"] == "deleted"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from graphweft.plans import cli
+
+    cli.main([str(tmp_path / "g"), "What treats headaches?", "--seed"])
+    out = capsys.readouterr().out
+    assert "32 nodes, 37 relationships" in out and "Ibuprofen treats Headache" in out
