@@ -111,7 +111,7 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall((text or "").lower())
-        if not words or not self.k:
+        if not self.k or not any(c.isalpha() for w in words for c in w):  # \w has number signs that are no letters
             return UNDETERMINED, 0.0
         total = np.zeros(self.k)
         for start in range(0, len(words), _STEP):

@@ -9,7 +9,7 @@ weigh more, or less, than its two terms.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +40,31 @@ class FactorizationMachine:
     weights: np.ndarray
     factors: np.ndarray
 
-    def score(self, columns: list[int]) -> float:
+    def logit(self, columns: list[int]) -> float:
         v = self.factors[columns]
-        z = self.bias + self.weights[columns].sum() + 0.5 * ((v.sum(axis=0) ** 2) - (v * v).sum(axis=0)).sum()
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return float(self.bias + self.weights[columns].sum() + 0.5 * ((v.sum(axis=0) ** 2) - (v * v).sum(axis=0)).sum())
+
+    def score(self, columns: list[int]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(columns), -40, 40))))
+
+    def centred(self, rows: list[list[int]], labels: np.ndarray, false_alarm: float = 2.0) -> FactorizationMachine:
+        """The machine with its bias moved so that 0.5 parts the rows best.
+
+        A row labelled 0 above the cut costs ``false_alarm`` rows labelled 1 below it; of
+        cuts that cost the same the one in the widest gap is taken, at its middle.
+        """
+        z, y = np.array([self.logit(r) for r in rows]), np.asarray(labels)
+        if not (y == 1).any() or not (y == 0).any():
+            return self
+        order = np.argsort(z)
+        z, y = z[order], y[order]
+        below_1, above_0 = np.cumsum(y == 1), (y == 0).sum() - np.cumsum(y == 0)
+        cost, gap = (below_1 + false_alarm * above_0)[:-1], np.diff(z)
+        best = np.nonzero((cost == cost[gap > 0].min()) & (gap > 0))[0] if (gap > 0).any() else []
+        if not len(best):
+            return self
+        at = best[gap[best].argmax()]
+        return replace(self, bias=self.bias - float(z[at] + z[at + 1]) / 2)
 
 
 def train(rows: list[list[int]], labels: np.ndarray, n_terms: int, epochs: int = 60, rate: float = 0.2, l2: float = 5e-5, l2_factors: float = 1e-3, positive: float = 3.0, batch: int = 256, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
@@ -99,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     rows = features.select("y", held.alias("held")).collect()
     unique = sorted({(tuple(sorted(terms[t] for t in r.held)), r.y) for r in rows if r.held}) + [((), r.y) for r in rows if not r.held]
     b, w, v = train([list(c) for c, _ in unique], np.array([y for _, y in unique]), len(terms))
-    return FactorizationMachine(terms, b, w, v)
+    return FactorizationMachine(terms, b, w, v).centred([list(c) for c, _ in unique], np.array([y for _, y in unique]))
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
