@@ -30,6 +30,7 @@ from .components import connected_components
 
 #: Vectors a cell aims at; rows of a block; vectors the pivots are chosen from; pivots at most.
 CELL, BLOCK, SAMPLE, MAX_PIVOTS = 2_048, 2_048, 8_192, 1_024
+SAMPLE_NUMBERS = 1 << 21  # components of those vectors, all together: what the driver holds of them
 _SLACK = 1e-9  # on bounds only: rounding may bring a vector to a cell too many, never too few
 
 
@@ -168,12 +169,13 @@ def _join(folded: DataFrame, threshold: float, cell: int, block: int, sample: in
     sizes = folded.groupBy(F.size("v").alias("d")).count().collect()  # one row per number of components
     out = folded.sparkSession.createDataFrame([], "a long, b long, linked long")
     for r in sizes:
-        out = out.union(_join_dim(folded.where(F.size("v") == r.d), r["count"], threshold, cell, block, sample, max_pivots))
+        out = out.union(_join_dim(folded.where(F.size("v") == r.d), r["count"], r.d, threshold, cell, block, sample, max_pivots))
     return out
 
 
-def _join_dim(part: DataFrame, n: int, threshold: float, cell: int, block: int, sample: int, max_pivots: int) -> DataFrame:
+def _join_dim(part: DataFrame, n: int, d: int, threshold: float, cell: int, block: int, sample: int, max_pivots: int) -> DataFrame:
     spark = part.sparkSession
+    sample = max(max_pivots, min(sample, SAMPLE_NUMBERS // d))
     drawn = part if n <= sample else part.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     vectors = [r.v for r in drawn.select("v").orderBy("rep").collect()] or [part.first().v]
     pivots = choose_pivots(units(pa.array(vectors, pa.list_(pa.float64())))[1], min(max_pivots, max(1, math.ceil(n / cell))))
@@ -237,3 +239,20 @@ def _join_dim(part: DataFrame, n: int, threshold: float, cell: int, block: int,
 
     placed = part.select("rep", "n", "v").mapInArrow(run, f"cell int, low int, high int, second boolean, rep long, n long, v {part.schema["v"].dataType.simpleString()}")
     return placed.groupBy("cell", "low", "high").applyInArrow(compare, "a long, b long, linked long")
+
+
+ORACLE = """
+with recursive usable as (
+    select vec_id, embedding::double[] as e from embeddings
+    where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as a, b.vec_id as b from usable a join usable b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9
+), reach as (
+    select vec_id as node, vec_id as root from embeddings union select links.b, reach.root from reach join links on links.a = reach.node
+), counted as (
+    select a, count(*) as n from links group by 1
+), components as (
+    select node, min(root) as component_id from reach group by 1
+)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from embeddings join components on node = vec_id left join counted on a = vec_id
+"""

@@ -76,4 +76,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-ORACLE_SQL |= {"op5_chat_formatting": chat_format.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontamination.ORACLE}
+ORACLE_SQL |= {"op4_embedding_near_dedup": embedding_dedup.ORACLE, "op5_chat_formatting": chat_format.ORACLE, "op6_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE, "op10_decontamination": decontamination.ORACLE}

@@ -65,7 +65,7 @@ def plain(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op5_chat_formatting", "op6_mixing", "op8_line_dedup", "op10_decontamination"])
+@pytest.mark.parametrize("name", ["op4_embedding_near_dedup", "op5_chat_formatting", "op6_mixing", "op8_line_dedup", "op10_decontamination"])
 def test_against_sql(spark, name):
     from graphweft.llm.queries import ORACLE_SQL, QUERIES
 
