@@ -99,3 +99,16 @@ class Catalog:
             self.open[kg_id] = QuestionPipeline(graphs.load(self.spark, r["path"], document["searchable_properties"]), config)
         self.touch(kg_id)
         return self.open[kg_id]
+
+    def graph(self, kg_id: str):
+        return self.pipeline(kg_id).graph
+
+    def agent(self, kg_id: str, memory, model):
+        """An agent on the graph; RuntimeError without a language model."""
+        from ..plans.agent import Agent
+
+        if model is None:
+            raise RuntimeError("an agent needs a language model")
+        pipeline = self.pipeline(kg_id)
+        pipeline.model = model
+        return Agent(pipeline, memory, model)
