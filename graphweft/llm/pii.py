@@ -36,14 +36,22 @@ _SPELLED = re.compile(rf"(?i)\b(?:plus[ -]{{1,3}})?(?:{_DIGIT}|[0-9]{{1,4}})(?:(
 _UNIT = re.compile(rf"(?i)plus|dot|point|punkt|punto|{_DIGIT}|[0-9]+|[ ,.()-]+")
 _ODD = re.compile("[^\x00-\u024f]|[\u00ad\u00a0]")
 _SIGN = r"[ \t]{0,3}[\[({<][ \t]{0,3}%s[ \t]{0,3}[\])}>][ \t]{0,3}"
-_AT = _SIGN % "(?:at|@|arroba|ät)"
-_DOT = _SIGN % r"(?:dot|\.|punkt|point|punto)"
+_AT = "(?:" + _SIGN % "(?:at|@|arroba|ät)" + "|&#0{0,3}64;|&commat;)"
+_DOT = "(?:" + _SIGN % r"(?:dot|\.|punkt|point|punto)" + "|&#0{0,3}46;|&period;)"
 _BARE_DOT = r"[ \t]{1,3}(?:dot|punkt|punto)[ \t]{1,3}"
 _DISGUISED = re.compile(
     rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{{1,64}}+(?:(?:{_DOT}|{_BARE_DOT})[a-z0-9_%+-]{{1,64}}+){{0,4}}+"
     rf"(?:(?:{_AT}|[ \t]{{1,3}}@[ \t]{{1,3}})[a-z0-9-]{{1,63}}+(?:(?:{_DOT}|{_BARE_DOT}|\.)[a-z0-9-]{{1,63}}+){{1,6}}+"
     rf"|(?:@|[ \t]{{1,3}}at[ \t]{{1,3}})[a-z0-9-]{{1,63}}+(?:\.[a-z0-9-]{{1,63}}+){{0,4}}+(?:(?:{_DOT}|{_BARE_DOT})[a-z0-9-]{{1,63}}+)(?:(?:{_DOT}|{_BARE_DOT}|\.)[a-z0-9-]{{1,63}}+){{0,4}}+)"
 )
+_GLUED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9.+]{1,64}+(?:[_-](?!at[_-])[a-z0-9.+]{1,64}+){0,3}+([_-]at[_-])[a-z0-9]{1,63}+(?:[_-]dot[_-][a-z0-9]{1,63}+){1,4}+")
+_GLUED_DOT = re.compile(r"(?i)[_-]dot[_-]")
+_SPLIT_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}+(?:(?:{_DOT}|{_BARE_DOT}|\.)[0-9]{{1,3}}+){{3}}+(?![0-9])")
+_ANY_DOT = re.compile(rf"(?i){_DOT}|{_BARE_DOT}")
+#: Letters that stand for digits among digits.
+_DIGIT_LETTERS = str.maketrans("OoIl", "0011")
+_NUMBER = re.compile("[0-9]")
+_LETTERED = re.compile(r"(?<![A-Za-z0-9])\+?[0-9OoIl](?:[ .()-]{0,2}[0-9OoIl]){8,24}(?![A-Za-z0-9])")
 _HINT = re.compile(rf"(?i){_AT}|{_DOT}|\bdot\b|\bpunkt\b|\bpunto\b|[ \t]@[ \t]")
 _PARTS = re.compile(rf"(?i)({_AT}|[ \t]{{1,3}}@[ \t]{{1,3}}|[ \t]{{1,3}}at[ \t]{{1,3}})|({_DOT}|{_BARE_DOT})")
 
@@ -135,21 +143,42 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
                 between = ""
             elif "." in unit:
                 between = "."
-        if words >= 3 and digits >= 4:
+        if digits >= 4 and words >= 3 or digits >= 9 and out[0] == "+":
             yield m.start(), m.end(), "".join(out)
 
 
+def _lettered(text: str) -> Iterator[tuple[int, int, str]]:
+    if not _NUMBER.search(text):
+        return
+    for m in _LETTERED.finditer(text):
+        letters = sum(c in "OoIl" for c in m[0])
+        if letters and 3 * letters <= sum(c in "OoIl0123456789" for c in m[0]):
+            yield m.start(), m.end(), m[0].translate(_DIGIT_LETTERS)
+
+
 def _signs(text: str) -> Iterator[tuple[int, int, str]]:
-    if _HINT.search(text):
-        for m in _DISGUISED.finditer(text):
-            for p in _PARTS.finditer(text, m.start(), m.end()):
-                yield p.start(), p.end(), "@" if p[1] else "."
+    if not _HINT.search(text) and not _ANY_DOT.search(text):
+        return
+    found = [(p.start(), p.end(), "@" if p[1] else ".") for m in _DISGUISED.finditer(text) for p in _PARTS.finditer(text, m.start(), m.end())]
+    found += [(p.start(), p.end(), ".") for m in _SPLIT_IP.finditer(text) for p in _ANY_DOT.finditer(text, m.start(), m.end())]
+    last = 0
+    for s, e, new in sorted(found):
+        if s >= last:
+            yield s, e, new
+            last = e
+
+
+def _glued(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _GLUED.finditer(text):
+        yield m.start(1), m.end(1), "@"
+        for p in _GLUED_DOT.finditer(text, m.end(1), m.end()):
+            yield p.start(), p.end(), "."
 
 
 def normalise(text: str) -> Mapped:
     """The text with its disguises undone."""
     out = Mapped(text)
-    for transducer in (_look_alikes, _spelled, _signs):
+    for transducer in (_look_alikes, _spelled, _lettered, _signs, _glued):
         if edits := list(transducer(out.text)):
             out = out.edit(edits)
     return out

@@ -290,6 +290,14 @@ def test_links_against_all_couples():
         ("１９２.168.0.1", "ip", "１９２.168.0.1"),
         ("ip one dot two dot three dot four", "ip", "one dot two dot three dot four"),
         ("a​b@x.com", "email", "a​b@x.com"),
+        ("jo.do@example[.]com", "email", "jo.do@example[.]com"),
+        ("jo&#64;example&#46;com", "email", "jo&#64;example&#46;com"),
+        ("jo_do_at_example_dot_com", "email", "jo_do_at_example_dot_com"),
+        ("from 192 dot 168 dot 1 dot 254 now", "ip", "192 dot 168 dot 1 dot 254"),
+        ("192[.]168[.]1[.]254", "ip", "192[.]168[.]1[.]254"),
+        ("call plus 1 (017) 555-7713", "phone", "plus 1 (017) 555-7713"),
+        ("pay 4539 5787 6362 l486", "card", "4539 5787 6362 l486"),
+        ("+1 (O17) 555-77l3", "phone", "+1 (O17) 555-77l3"),
     ],
 )
 def test_disguises(text, kind, shown):
@@ -297,7 +305,7 @@ def test_disguises(text, kind, shown):
     assert [(k, text[s:e]) for k, s, e in added] == [(kind, text if shown is None else shown)]
 
 
-@pytest.mark.parametrize("text", ["we met at noon", "look at example.com", "the dot com era", "one two three go", "at the end. dot", "Müller und Söhne", "he was at one dot", "plus one"])
+@pytest.mark.parametrize("text", ["we met at noon", "look at example.com", "the dot com era", "one two three go", "at the end. dot", "Müller und Söhne", "he was at one dot", "plus one", "version 1 dot 2 dot 3", "OoIl 10 1I", "look_at_this_dot", "l0l 1000000 O"])
 def test_plain_prose_has_nothing(text):
     assert pii.find(text) == ([], [])
 
@@ -318,7 +326,7 @@ def test_scans_take_odd_rows(spark):
     assert (r.n_assign, r.n_linked) == (1, 1) and r.spans == "assign:0:21,ident:23:32"
 
 
-@pytest.mark.parametrize("text", ["a" * 100_000, "1" * 100_000, "1 " * 50_000, "+1" + "(" * 100_000, "a@" * 50_000, "one " * 30_000, "[at] " * 20_000, "dot " * 25_000, "token=" * 20_000, "Aa1" * 30_000, "key=abcdef1 user=bo " * 5_000])
+@pytest.mark.parametrize("text", ["a" * 100_000, "1" * 100_000, "1 " * 50_000, "+1" + "(" * 100_000, "a@" * 50_000, "one " * 30_000, "[at] " * 20_000, "dot " * 25_000, "token=" * 20_000, "Aa1" * 30_000, "key=abcdef1 user=bo " * 5_000, "1 dot " * 20_000, "a_at_" * 20_000, "O0" * 50_000, "1[.]" * 25_000, "l. " * 30_000])
 def test_long_runs_are_quick(text):
     import time
 
