@@ -209,3 +209,15 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main([str(tmp_path / "g"), "What treats headaches?", "--seed"])
     out = capsys.readouterr().out
     assert "32 nodes, 37 relationships" in out and "Ibuprofen treats Headache" in out
+
+
+def test_a_hop_on_a_saved_graph_is_pushed_to_the_scan(spark, tmp_path):
+    from graphweft.operators import traverse as t
+
+    path = str(tmp_path / "g")
+    graphs.build(spark, sample.NODES, sample.RELATIONSHIPS).save(path)
+    hop = t.targeted(graphs.load(spark, path), ["Drug:Aspirin"], "CAUSES", "Drug", "SideEffect")
+    assert hop.count() == 2
+    plan = hop._jdf.queryExecution().executedPlan().toString()
+    assert "rel_type" in plan.split("PartitionFilters: [")[1].split("]")[0] and "source_" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "rel_props" not in plan.split("ReadSchema: ")[1]
