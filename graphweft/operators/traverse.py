@@ -21,7 +21,7 @@ EDGE_KEY = ["source_id", "rel_type", "target_id"]
 # Rows or paths each strategy returns at most, and its default bounds.
 TARGETED_ROWS, CHAINED_PATHS, VARIABLE_PATHS, SHORTEST_PATHS, GENERAL_ROWS = 50, 100, 60, 20, 30
 MIN_HOPS, MAX_HOPS, SHORTEST_HOPS, MIN_CONNECTIONS = 1, 2, 6, 2
-_FEW = 100
+_FEW, FRONTIER_ROWS = 100, 100_000
 
 
 @dataclass(frozen=True)
@@ -76,6 +76,12 @@ def anchored(edges: DataFrame, column: str, ids: list[str]) -> DataFrame:
     return edges.join(F.broadcast(at), F.col(column) == F.col("anchor"), "left_semi")
 
 
+def at_hand(frontier: DataFrame) -> DataFrame:
+    """The frontier, computed and counted: broadcast up to ``FRONTIER_ROWS``, so that a hop doesn't shuffle the edges; beyond that a plain side of the join."""
+    done = checkpoint(frontier)
+    return F.broadcast(done) if done.count() <= FRONTIER_ROWS else done
+
+
 def _labels(edges: DataFrame, source: str, target: str) -> DataFrame:
     if source:
         edges = edges.where(F.col("source_label") == source)
@@ -122,7 +128,7 @@ def chained_paths(graph: Graph, ids: list[str], entry_label: str, hops: list[Hop
         if paths is None:
             paths = anchored(e, "source_id", ids).select(F.array(_edge_struct()).alias("path"), F.col("target_id").alias("at"))
         else:
-            paths = paths.join(e, F.col("at") == F.col("source_id")).select(F.array_append("path", _edge_struct()).alias("path"), F.col("target_id").alias("at"))
+            paths = at_hand(paths).join(e, F.col("at") == F.col("source_id")).select(F.array_append("path", _edge_struct()).alias("path"), F.col("target_id").alias("at"))
     return paths.select("path")
 
 
@@ -130,6 +136,10 @@ def chained(graph: Graph, ids: list[str], entry_label: str, hops: list[Hop], lim
     return unwind(_ordered_paths(chained_paths(graph, ids, entry_label, hops), limit))
 
 
+def _open_ended(paths: DataFrame) -> DataFrame:
+    return paths.where(F.element_at("path", 1)["source_id"] != F.element_at("path", -1)["target_id"]).select("path")
+
+
 def trails(graph: Graph, ids: list[str], min_hops: int = MIN_HOPS, max_hops: int = MAX_HOPS) -> DataFrame:
     """Directed trails: no edge twice, nodes as often as they come, the end not the start."""
     e = graph.edges.select(*EDGE)
@@ -138,10 +148,12 @@ def trails(graph: Graph, ids: list[str], min_hops: int = MIN_HOPS, max_hops: int
     found = []
     for k in range(1, max_hops + 1):
         if k > 1:
-            ahead = level.withColumn("at", F.element_at("path", -1)["target_id"]).join(e, F.col("at") == F.col("source_id"))
+            level = at_hand(level.withColumn("at", F.element_at("path", -1)["target_id"]))
+            found[-1:] = [_open_ended(level)] if found else []
+            ahead = level.join(e, F.col("at") == F.col("source_id"))
             level = ahead.where(~F.exists("path", lambda x: key(x) == F.concat_ws("~", "source_id", "rel_type", "target_id"))).select(F.array_append("path", _edge_struct()).alias("path"))
         if k >= min_hops:
-            found.append(level.where(F.element_at("path", 1)["source_id"] != F.element_at("path", -1)["target_id"]))
+            found.append(_open_ended(level))
     out = found[0]
     for f in found[1:]:
         out = out.unionAll(f)
@@ -171,15 +183,17 @@ def shortest_paths(graph: Graph, ids: list[str], max_hops: int = SHORTEST_HOPS)
     total = pairs.count()
     nodes, types = F.array("a").alias("nodes"), F.array().cast("array<string>").alias("types")
     level = pairs.select("a").distinct().select("a", F.col("a").alias("at"), nodes, types)
-    seen, found = level.select("a", "at"), None
+    near, seen, found = F.broadcast(level), level.select("a", "at"), None  # as many rows as entries
     for _ in range(max_hops if total else 0):
-        step = level.join(both, F.col("at") == F.col("u")).select("a", F.col("v").alias("at"), F.struct(F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("types", F.col("rel_type")).alias("types")).alias("p"))
+        step = near.join(both, F.col("at") == F.col("u")).select("a", F.col("v").alias("at"), F.struct(F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("types", F.col("rel_type")).alias("types")).alias("p"))
         fresh = step.join(seen, ["a", "at"], "left_anti").groupBy("a", "at").agg(F.min("p").alias("p"))
         level = checkpoint(fresh.select("a", "at", "p.nodes", "p.types"))
+        n = level.count()
+        near = F.broadcast(level) if n <= FRONTIER_ROWS else level
         hit = level.join(F.broadcast(pairs.withColumnRenamed("b", "at")), ["a", "at"])
         found = hit if found is None else found.unionAll(hit)
         seen = seen.unionAll(level.select("a", "at"))
-        if level.isEmpty() or found.count() == total:
+        if not n or found.count() == total:
             break
     if found is None:
         found = level.limit(0)
