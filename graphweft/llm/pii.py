@@ -31,9 +31,10 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SIGNS = {"\ufe6b": "@", "\u2024": ".", "\u3002": ".", "\uff61": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-", "\u00a0": " ", "\u2009": " ", "\u202f": " "}
 #: Digits as words: English, German, French, Spanish.
 DIGITS = {w: str(i) for i, ws in enumerate(("zero oh null zéro cero", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro", "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve")) for w in ws.split()}
-_DIGIT = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?i)\b(?:plus[ -]{{1,3}})?(?:{_DIGIT}|[0-9]{{1,4}})(?:(?:[ ,.()-]{{1,3}}|[ ]{{1,2}}(?:dot|point|punkt|punto)[ ]{{1,2}})(?:{_DIGIT}|[0-9]{{1,4}})\b)++")
-_UNIT = re.compile(rf"(?i)plus|dot|point|punkt|punto|{_DIGIT}|[0-9]+|[ ,.()-]+")
+#: Grouped by first letter, longest first, so that most words are passed by after one comparison.
+_DIGIT = "(?:" + "|".join(f"{c}(?:{'|'.join(sorted((w[1:] for w in DIGITS if w[0] == c), key=len, reverse=True))})" for c in sorted({w[0] for w in DIGITS})) + ")"
+_SPELLED = re.compile(rf"\b(?:plus[ -]{{1,3}})?(?:{_DIGIT}|[0-9]{{1,4}})(?:(?:[ ,.()-]{{1,3}}|[ ]{{1,2}}(?:dot|point|punkt|punto)[ ]{{1,2}})(?:{_DIGIT}|[0-9]{{1,4}})\b)++")
+_UNIT = re.compile(rf"plus|dot|point|punkt|punto|{_DIGIT}|[0-9]+|[ ,.()-]+")
 _ODD = re.compile("[^\x00-\u024f]|[\u00ad\u00a0]")
 _SIGN = r"[ \t]{0,3}[\[({<][ \t]{0,3}%s[ \t]{0,3}[\])}>][ \t]{0,3}"
 _AT = "(?:" + _SIGN % "(?:at|@|arroba|ät)" + "|&#0{0,3}64;|&commat;)"
@@ -56,6 +57,10 @@ _HINT = re.compile(rf"(?i){_AT}|{_DOT}|\bdot\b|\bpunkt\b|\bpunto\b|[ \t]@[ \t]")
 _PARTS = re.compile(rf"(?i)({_AT}|[ \t]{{1,3}}@[ \t]{{1,3}}|[ \t]{{1,3}}at[ \t]{{1,3}})|({_DOT}|{_BARE_DOT})")
 
 
+#: One of these is in every disguise of a sign: what is searched for first.
+_SIGN_HINTS = ("dot", "punkt", "punto", "[", "(", "{", "<", "&", " @", "\t@")
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     last, at = 0, text.find("@")
     while at >= 0:
@@ -125,8 +130,14 @@ def _look_alikes(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), new
 
 
+def _lowered(text: str) -> str:
+    """Lower case at the same positions."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in _SPELLED.finditer(text):
+    for m in _SPELLED.finditer(_lowered(text)):
         out, words, digits, between = [], 0, 0, ""
         for unit in _UNIT.findall(m[0]):
             low = unit.lower()
@@ -157,7 +168,8 @@ def _lettered(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _signs(text: str) -> Iterator[tuple[int, int, str]]:
-    if not _HINT.search(text) and not _ANY_DOT.search(text):
+    low = text.lower()
+    if not any(x in low for x in _SIGN_HINTS) or not _HINT.search(text) and not _ANY_DOT.search(text):
         return
     found = [(p.start(), p.end(), "@" if p[1] else ".") for m in _DISGUISED.finditer(text) for p in _PARTS.finditer(text, m.start(), m.end())]
     found += [(p.start(), p.end(), ".") for m in _SPLIT_IP.finditer(text) for p in _ANY_DOT.finditer(text, m.start(), m.end())]
@@ -169,6 +181,9 @@ def _signs(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _glued(text: str) -> Iterator[tuple[int, int, str]]:
+    low = text.lower()
+    if not any(x in low for x in ("_at_", "_at-", "-at_", "-at-")):
+        return
     for m in _GLUED.finditer(text):
         yield m.start(1), m.end(1), "@"
         for p in _GLUED_DOT.finditer(text, m.end(1), m.end()):
