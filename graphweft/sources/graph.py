@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph view of the benchmark tables; a query reads only the tables its labels and types need."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    read = cache(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))  # a footer is read once per table, not per label and type
     ident = lambda label, key: F.concat(F.lit(label + ":"), F.col(key).cast("string"))
     nodes, props, edges = [], [], []
     for label, table, key, name, more in NODE_TABLES:
