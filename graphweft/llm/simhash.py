@@ -17,6 +17,7 @@ forest of its links, never all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -163,14 +164,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = CAP) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each group of near-duplicates.
+    """The rows of ``docs``, all columns, one of each group of near-duplicates, chosen as ``one_of_each`` does."""
+    return one_of_each(docs, lambda keyed: near_duplicates(keyed, "key", "text", width, cap), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group that ``find`` gives for (key, text) as (key, component_id).
 
     The row with the smallest id stays (null before all others), of equal ids that with the
     lower MD5 of its text, of rows equal in both any one.
     """
     mark = F.md5(utf8(docs[f"`{text_col}`"]))
     keyed = docs.select(F.struct(docs[f"`{id_col}`"].alias("id"), mark.alias("mark")).alias("key"), docs[f"`{text_col}`"].alias("text"))
-    found = near_duplicates(keyed, "key", "text", width, cap).where("key = component_id")
+    found = find(keyed).where("key = component_id")
     kept = checkpoint(found.groupBy(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark")).agg(F.count("*").alias("__n")))
     out = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (mark == kept["__mark"]), "left_semi")
     if not kept.where("__n > 1").isEmpty():
