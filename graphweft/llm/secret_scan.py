@@ -31,11 +31,11 @@ _either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w
 _ASSIGN = re.compile("(" + "|".join([*map(_either, ("password", "passwd", "secret", "token")), _either("api") + "_?" + _either("key")]) + r")[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}+")
-_NAMED = r"(?i)(?<![a-z0-9])(?:%s)[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?([A-Za-z0-9+/_.@~-]{%d,200}+)"
+_NAMED = r"(?i)(?<![a-z0-9])(?:%s)[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?([A-Za-z0-9+/_.@~-]{%d,}+)"
 _IDENT = re.compile(_NAMED % (r"access[_-]?key[_-]?id|access[_-]?id|client[_-]?id|account[_-]?(?:id|name)|key[_-]?id|user[_-]?(?:id|name)?|login|uid", 2))
 _PART = re.compile(_NAMED % (r"access[_-]?key|client[_-]?key|private[_-]?key|auth[_-]?key|shared[_-]?key|account[_-]?key|signature|pwd|pass|key", 6))
-_WORD = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}+={0,2}(?![A-Za-z0-9+/_-])")
-_ENDPOINT = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z][a-z0-9+.-]{1,15}+://[^\s\"'<>|]{3,300}+|(?:host(?:name)?|endpoint|server|bucket|region|url)[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?[A-Za-z0-9][A-Za-z0-9./:_-]{2,200}+)")
+_WORD = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_-])")
+_ENDPOINT = re.compile(r"(?i)(?<![a-z0-9])(?:[a-z][a-z0-9+.-]{1,15}+://[^\s\"'<>|]{3,}+|(?:host(?:name)?|endpoint|server|bucket|region|url)[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?[A-Za-z0-9][A-Za-z0-9./:_-]{2,}+)")
 _COLON = re.compile("[:=]")
 _BLANK = re.compile(r"\n[ \t\r\f\v]*\n")
 

@@ -253,6 +253,20 @@ def test_linked_credentials():
     assert found("just https://example.org and prose") == [] and found("token = abcdef123") == []
 
 
+def test_long_parts_are_whole():
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ABCDEFGHabcdefgh0123456789") for _ in range(n))
+    found = lambda t: [t[s:e] for _, s, e in sec.find(t)[1]]
+    for n in (100, 129, 342, 5000):
+        w, u = word(n), "https://example.com/" + "/".join(["path"] * n)
+        assert found(f"user=bob {w}") == ["user=bob", w]
+        assert found(f"user=bob pwd={w}") == ["user=bob", f"pwd={w}"]
+        assert found(f"user={w} pwd=hunter2hunter2") == [f"user={w}", "pwd=hunter2hunter2"]
+        assert found(f"{u} pwd=hunter2hunter2") == [u, "pwd=hunter2hunter2"]
+        host = "host: db" + ".name" * n
+        assert found(f"{host} pwd=hunter2hunter2") == [host, "pwd=hunter2hunter2"]
+
+
 def brute_links(text, base, reach=sec.REACH):
     """Weak candidates reported by comparing all couples of parts, role by role."""
     taken = [x for spans in base.values() for x in spans]
