@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entity_key, entity_name, indel_ratio, relation_name, sentences, strings, value_type
 from ..sources.shared import checkpoint
+from .components import connected_components
 
 TRIPLE = "head string, relation string, tail string, head_type string, tail_type string, confidence double, source_chunk string"
 REPLY = "array<struct<head:string,relation:string,tail:string,head_type:string,tail_type:string,confidence:double>>"
@@ -100,16 +101,9 @@ def jaccard_pairs(members: DataFrame, threshold: float = MERGE_SIMILARITY) -> Da
 
 
 def merge_types(members: DataFrame, threshold: float = MERGE_SIMILARITY) -> DataFrame:
-    """(type, merged): each type and the least type it merges into, through chains of merges. Types are few; rounds go until nothing moves."""
-    pairs = checkpoint(jaccard_pairs(members, threshold).select("a", "b"))
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = members.select("type").distinct().withColumn("merged", F.col("type"))
-    while True:
-        near = both.join(label.select(F.col("type").alias("b"), "merged"), "b").groupBy(F.col("a").alias("type")).agg(F.min("merged").alias("near"))
-        new = checkpoint(label.join(near, "type", "left").select("type", F.least("merged", F.coalesce("near", "merged")).alias("merged"), (F.col("near") < F.col("merged")).alias("moved")))
-        label = new.select("type", "merged")
-        if new.where("moved").isEmpty():
-            return label
+    """(type, merged): each type and the least type it merges into, through chains of merges of any length."""
+    roots = connected_components(jaccard_pairs(members, threshold).select("a", "b")).withColumnRenamed("node", "type")
+    return members.select("type").distinct().join(roots, "type", "left").select("type", F.coalesce("root", "type").alias("merged"))
 
 
 def infer_types(properties: DataFrame) -> DataFrame:
