@@ -1,15 +1,16 @@
-"""What several operators share: checkpoints, Arrow plumbing, a small union-find."""
+"""What several operators share: Arrow plumbing, private names, a small union-find."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpoint  # noqa: F401
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,17 +33,23 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share.
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that would fit in one split of a file (``spark.sql.files.maxPartitionBytes``), dealt to all cores; others as they are.
 
-    ``spark.checkpoint.dir`` names that folder; only a session that has none, such as
-    a test's, gets a temporary one.
+    A small file often is a single row group, which one core would read and work on alone.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism) if int(str(estimate)) <= size else df
+
+
+def private(name: str, *frames: DataFrame) -> str:
+    """``name``, with ``_`` added until no column of the frames has it, in whatever case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def utf8(column: str | Column) -> Column:
@@ -56,6 +63,25 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows of a hash and a mark, some 100 bytes each in memory, that are broadcast; beyond that the join is dealt.
+FEW = 200_000
+
+
+def _marked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    few = F.broadcast(keys) if keys.count() <= FEW else keys
+    return docs.join(few, (F.xxhash64(docs[f"`{id_col}`"]) == keys["h"]) & (F.md5(utf8(docs[f"`{text_col}`"])) == keys["mark"]), how)
+
+
+def matching(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keys`` (h: xxhash64 of the id, mark: MD5 of the text; checkpointed) names."""
+    return _marked(docs, keys, id_col, text_col, "left_semi")
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``keys`` does not name."""
+    return _marked(docs, keys, id_col, text_col, "left_anti")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` of a function on single record batches."""
     prepare(df.sparkSession)

@@ -6,9 +6,9 @@ shares a fingerprint: none is missed. Document fingerprints that the benchmark h
 extended to the windows around them, and those windows are joined, by a digest of their
 words, with the benchmark's own; what joins is exact.
 
-The benchmark's fingerprints meet the documents as a bitmap of ``1 << BITS`` bits, two
-megabytes whatever the benchmark's size: it lets some strangers through, which the join
-then drops, and never holds back a fingerprint of the benchmark.
+The benchmark's fingerprints meet the documents as a bitmap of 2 to 32 megabytes, by the
+benchmark's size: it lets some strangers through, which the join then drops, and never
+holds back a fingerprint of the benchmark.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, prepare, quoted, utf8
+from .common import checkpoint, dealt, map_batches, prepare, quoted, utf8, without
 
-WINDOW, K, BITS = 10, 5, 24
+WINDOW, K = 10, 5
+#: Address bits of the bitmap, least and most, and bytes of the pieces it is made in.
+BITS, MAX_BITS, _PIECE = 24, 28, 1 << 16
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # after A-Z became a-z
 
 
@@ -75,11 +77,11 @@ def item_fingerprints(words: list[bytes], window: int = WINDOW, k: int = K) -> n
 class Candidates:
     """Finds the windows of a text that hold a fingerprint in the bitmap."""
 
-    def __init__(self, bitmap: np.ndarray, short: list[int], window: int, k: int):
-        self.bitmap, self.short, self.window, self.k = bitmap, short, window, k
+    def __init__(self, bitmap: np.ndarray, short: list[int], window: int, k: int, bits: int):
+        self.bitmap, self.short, self.window, self.k, self.bits = bitmap, short, window, k, bits
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
-        slot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         return (self.bitmap[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
     def __call__(self, words: list[bytes]) -> list[tuple[int, int]]:
@@ -98,17 +100,34 @@ class Candidates:
         return found
 
 
-def _bitmap(items: DataFrame, window: int, k: int) -> np.ndarray:
+def _length(digest: str) -> Column:
+    """The words of a window, the first four bytes of its digest."""
+    return F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("int")
+
+
+def bits_for(windows: int) -> int:
+    """Address bits of a bitmap with some 32 bits a window, between the bounds."""
+    return min(MAX_BITS, max(BITS, (32 * windows - 1).bit_length() if windows else 0))
+
+
+def _bitmap(items: DataFrame, window: int, k: int, bits: int) -> np.ndarray:
+    """The fingerprints' slots as bits; made in pieces of 64 KB, so the driver gets no row for each."""
+
     def slots(batch: pa.RecordBatch) -> pa.RecordBatch:
         h = np.concatenate([np.zeros(0, np.uint64), *(item_fingerprints(words_of(t), window, k) for t in batch.column(1).to_pylist())])
-        return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - BITS)).astype(np.int64))], names=["slot"])
+        return pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - bits)).astype(np.int64))], names=["slot"])
+
+    def piece(table: pa.Table) -> pa.Table:
+        own = np.zeros(_PIECE, np.uint8)
+        slot = table.column("slot").to_numpy()
+        np.bitwise_or.at(own, (slot >> 3) % _PIECE, (1 << (slot & 7)).astype(np.uint8))
+        return pa.table({"at": pa.array([int(slot[0] >> 3) // _PIECE], pa.int64()), "octets": pa.array([own.tobytes()], pa.binary())})
 
-    found = map_batches(items, slots, "slot long")
-    rows = found.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (BITS - 6), dtype="<i8")
-    for r in rows:
-        out[r["at"]] = r["bits"]
-    return out.view(np.uint8)
+    found = map_batches(items, slots, "slot long").distinct()
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in found.groupBy(F.shiftright("slot", 3 + _PIECE.bit_length() - 1).alias("at")).applyInArrow(piece, "at long, octets binary").toLocalIterator():
+        out[r["at"] * _PIECE : (r["at"] + 1) * _PIECE] = np.frombuffer(r["octets"], np.uint8)
+    return out
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, k: int) -> tuple[DataFrame, DataFrame]:
@@ -120,31 +139,39 @@ def _scan(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, ite
         names, digests = [], []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = words_of(text)
-            found = {bytes([n]) + window_digest(words, s, n) for s, n in item_windows(words, window)}
+            found = {n.to_bytes(4) + window_digest(words, s, n) for s, n in item_windows(words, window)}
             names += [item] * len(found)
             digests += found
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(digests, pa.binary())], names=["item", "digest"])
 
     own = checkpoint(map_batches(items, windows, "item string, digest binary"))
-    short = sorted(r.n for r in own.select(F.ascii(F.substring("digest", 1, 1).cast("string")).alias("n")).distinct().collect() if r.n < window)
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items, window, k))
+    short = sorted(r.n for r in own.select(_length("digest").alias("n")).distinct().collect() if r.n < window)
+    bits = bits_for(own.count())
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(items, window, k, bits))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def candidates(batch: pa.RecordBatch) -> pa.RecordBatch:
-        find, sizes, starts, digests = Candidates(shared.value, short, window, k), [], [], []
+        find, sizes, starts, digests = Candidates(shared.value, short, window, k, bits), [], [], []
         for text in batch.column(1).to_pylist():
             words = words_of(text)
             found = find(words)
             sizes.append(len(words))
             starts.append([s for s, _ in found])
-            digests.append([bytes([n]) + window_digest(words, s, n) for s, n in found])
+            digests.append([n.to_bytes(4) + window_digest(words, s, n) for s, n in found])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(digests, pa.list_(pa.binary()))], names=["id", "n_words", "starts", "digests"])
 
-    scanned = map_batches(docs.select(quoted(id_col).alias("id"), utf8(quoted(text_col)).alias("text")), candidates, f"id {kind}, n_words long, starts array<int>, digests array<binary>")
+    scanned = map_batches(dealt(docs.select(quoted(id_col).alias("id"), utf8(quoted(text_col)).alias("text"))), candidates, f"id {kind}, n_words long, starts array<int>, digests array<binary>")
     scanned = checkpoint(scanned.withColumn("row", F.monotonically_increasing_id()))
     probes = scanned.where(F.size("starts") > 0).select("row", F.explode(F.arrays_zip("starts", "digests")).alias("x")).select("row", F.col("x.starts").alias("start"), F.col("x.digests").alias("digest"))
-    hits = probes.join(own, "digest").withColumn("length", F.ascii(F.substring("digest", 1, 1).cast("string")))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "length")), lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1)))))
+    hits = probes.join(own, "digest").withColumn("length", _length("digest"))
+    none = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
+
+    def cover(state: Column, s: Column) -> Column:
+        """Intervals in order: what each adds to those before."""
+        end = s["start"] + s["length"]
+        return F.struct(F.greatest(state["upto"], end).alias("upto"), (state["n"] + F.greatest(end - F.greatest(s["start"], state["upto"]), F.lit(0))).alias("n"))
+
+    covered = F.aggregate(F.array_sort(F.collect_set(F.struct("start", "length"))), none, cover, lambda s: s["n"])
     found = hits.groupBy("row").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     return scanned.select("row", "id", "n_words"), found
 
@@ -175,10 +202,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
     Rows are told apart by id and text, so one of two rows with the same id can go alone.
     """
-    mark = lambda df: F.md5(utf8(df[f"`{text_col}`"]))
-    keyed = docs.select(F.struct(docs[f"`{id_col}`"].alias("id"), mark(docs).alias("mark")).alias("__key"), docs[f"`{text_col}`"].alias("__text"))
-    bad = contamination(keyed, benchmark, id_col="__key", text_col="__text", **options).where("contaminated").select(F.col("__key.id").alias("__bad_id"), F.col("__key.mark").alias("__bad_mark"))
-    return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(bad["__bad_id"]) & (mark(docs) == bad["__bad_mark"]), "left_anti")
+    key = F.struct(F.xxhash64(docs[f"`{id_col}`"]).alias("h"), F.md5(utf8(docs[f"`{text_col}`"])).alias("mark"))
+    keyed = docs.select(key.alias("key"), docs[f"`{text_col}`"].alias("text"))
+    bad = contamination(keyed, benchmark, id_col="key", text_col="text", **options).where("contaminated").select("key.h", "key.mark").distinct()
+    return without(docs, checkpoint(bad), id_col, text_col)
 
 
 ORACLE = r"""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches, prepare, quoted, spanning_forest
-from .components import connected_components
+from ..operators.components import connected_components
 
 #: Vectors a cell aims at; rows of a block; vectors the pivots are chosen from; pivots at most.
 CELL, BLOCK, SAMPLE, MAX_PIVOTS = 2_048, 2_048, 8_192, 1_024

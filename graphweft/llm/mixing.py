@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, quoted
+from .common import checkpoint, private, quoted
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2.0, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,20 +79,20 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", copy_col: str = "copy", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """The rows of ``docs`` as often as the plan takes them, numbered from 1 in ``copy_col``.
 
-    A table that has a column of that name gets one with ``_`` added.
+    A table that has a column of that name, in whatever case, gets one with ``_`` added.
 
     Only the table of sources is joined to the rows, so texts are not shuffled for it.
     """
-    while copy_col in docs.columns:
-        copy_col += "_"
+    copy_col = private(copy_col, docs)
+    of, rate = private("__of", docs), private("__rate", docs)
     sizes = docs.groupBy(quoted(source_col).cast("string").alias("source")).agg(F.sum(word_count(quoted(text_col))).alias("source_size"))
-    aims = checkpoint(targets(sizes, weights, share, cap)).select(F.col("source").alias("__of"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"))
+    aims = checkpoint(targets(sizes, weights, share, cap)).select(F.col("source").alias(of), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate))
     if aims.count() <= 100_000:  # one short row per source; beyond that, a join that splits hot sources
         aims = F.broadcast(aims)
-    joined = docs.join(aims, docs[f"`{source_col}`"].cast("string").eqNullSafe(F.col("__of")))
-    copies = F.floor(F.col("__rate")) + (draw(docs[f"`{id_col}`"], seed) < F.col("__rate") - F.floor(F.col("__rate"))).cast("long")
-    numbered = joined.withColumn("__copies", copies.cast("int")).where("__copies > 0")
-    return numbered.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(copy_col))
+    joined = docs.join(aims, docs[f"`{source_col}`"].cast("string").eqNullSafe(F.col(of)))
+    copies = F.floor(F.col(rate)) + (draw(docs[f"`{id_col}`"], seed) < F.col(rate) - F.floor(F.col(rate))).cast("long")
+    numbered = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int")))
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], F.explode(numbered).alias(copy_col))
 
 
 ORACLE = r"""

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, quoted, spanning_forest, utf8
-from .components import connected_components
+from .common import checkpoint, dealt, map_batches, matching, private, quoted, spanning_forest, utf8, without
+from ..operators.components import connected_components
 
 SEED = 42
 CAP = 1024
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         fps = [signed(simhash(t, width)) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return map_batches(docs.select(quoted(id_col).alias("id"), utf8(quoted(text_col)).alias("text")), run, f"id {kind}, fp long")
+    return map_batches(dealt(docs.select(quoted(id_col).alias("id"), utf8(quoted(text_col)).alias("text"))), run, f"id {kind}, fp long")
 
 
 def _bytes(positions) -> Column:
@@ -172,13 +172,17 @@ def one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame], id_col:
     """The rows of ``docs``, all columns, one of each group that ``find`` gives for (key, text) as (key, component_id).
 
     The row with the smallest id stays (null before all others), of equal ids that with the
-    lower MD5 of its text, of rows equal in both any one.
+    lower MD5 of its text, of rows equal in both any one. What meets the texts is what goes:
+    as few as ``FEW`` rows are broadcast, so that no text is shuffled.
     """
     mark = F.md5(utf8(docs[f"`{text_col}`"]))
     keyed = docs.select(F.struct(docs[f"`{id_col}`"].alias("id"), mark.alias("mark")).alias("key"), docs[f"`{text_col}`"].alias("text"))
-    found = find(keyed).where("key = component_id")
-    kept = checkpoint(found.groupBy(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark")).agg(F.count("*").alias("__n")))
-    out = docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (mark == kept["__mark"]), "left_semi")
-    if not kept.where("__n > 1").isEmpty():
-        out = out.withColumn("__once", F.md5(utf8(F.col(f"`{text_col}`")))).dropDuplicates([id_col, "__once"]).drop("__once")
-    return out
+    key = [F.xxhash64("key.id").alias("h"), F.col("key.mark").alias("mark")]
+    found = checkpoint(find(keyed).select(*key, (F.col("key") == F.col("component_id")).alias("stays")).groupBy("h", "mark", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"))
+    kept = without(docs, found.where("not stays or n > 1").select("h", "mark"), id_col, text_col)
+    repeated = found.where("stays and n > 1").select("h", "mark")
+    if repeated.isEmpty():
+        return kept
+    once = private("__once", docs)
+    again = matching(docs, repeated, id_col, text_col).withColumn(once, mark)
+    return kept.unionAll(again.dropDuplicates([id_col, once]).drop(once))

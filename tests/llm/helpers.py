@@ -8,7 +8,7 @@ DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 #: Extra columns whose names clash with those the operators use.
-CLASH = "id long, fp long, n long, key string, hash string, row long, rep string, component_id long, score double, copy int, items string, v string, doc string"
+CLASH = "id long, fp long, n long, key string, hash string, row long, rep string, component_id long, score double, copy int, items string, v string, doc string, __rate double, __of string, __copies int, __text string, __hashes string, __once string, __key string, h long, mark string"
 
 
 def documents(spark, rows, extra=True):

@@ -194,6 +194,8 @@ def test_mix(spark):
     assert all(copies[i] * r.size == r.taken for i, r in report.items() if r.size)
     assert {i: r.taken for i, r in report.items()} == {r.doc_id: r.taken for r in mixing.mix_report(d.repartition(7)).collect()}
     assert "copy_" in mixing.mix(d).columns
+    odd_case = documents(spark, rows[:50], extra=False).withColumn("Copy", F.lit(1))
+    assert mixing.mix(odd_case).columns[-2:] == ["Copy", "copy_"] and mixing.mix(odd_case).count() > 0
     odd = mixing.mix_report(documents(spark, ODD)).collect()
     assert len(odd) == len(ODD) and {r.size for r in odd if r.doc_id in (1, 2, 3)} == {0}
     assert mixing.mix_report(documents(spark, [])).count() == 0 and mixing.mix(documents(spark, [])).count() == 0
@@ -402,6 +404,17 @@ def test_contamination_of_empty_tables(spark):
     assert dc.contamination(documents(spark, ODD), bench.where("false")).where("contaminated").count() == 0
 
 
+def test_windows_of_any_length(spark, monkeypatch):
+    """A window of over 127 words; a bitmap of more than the least bits."""
+    monkeypatch.setattr(dc, "BITS", 20)
+    assert [dc.bits_for(n) for n in (0, 1, 1 << 15, 1 << 20, 1 << 40)] == [20, 20, 20, 25, 28]
+    words = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(words[50:250])), (2, " ".join(words[50:249])), (3, " ".join(words[:300]))]
+    bench = spark.createDataFrame([(1, " ".join(["x", *words[50:250], "y"])), (2, " ".join(words[280:300]))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in dc.contamination(documents(spark, docs), bench, window=200, k=50).collect()}
+    assert got == {1: (200, 200, ["1"]), 2: (199, 0, []), 3: (300, 220, ["1", "2"])}
+
+
 def test_winnowing_guarantee():
     rng = random.Random(9)
     for _ in range(300):
