@@ -1,13 +1,14 @@
 """Removal of lines that many documents share.
 
 Lines are exploded into normalised keys, hashed and counted once a document; the hashes
-found in enough documents go back to the documents that hold them, where the remaining
-lines are joined again in their order.
+found in enough documents go back to the documents, where the remaining lines are joined
+again in their order.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +16,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, quoted, utf8
+from .common import checkpoint, dealt, map_batches, private, quoted, utf8
 
 WHITE = b" \t\n\v\f\r"
+#: Frequent digests of 16 bytes, some 100 in a set, that are broadcast; beyond that texts are joined with theirs.
+FEW = 200_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -42,25 +45,37 @@ def drop_lines(text: bytes, dropped: set[bytes]) -> tuple[int, bytes, int]:
     return len(lines), b"\n".join(stay), len(lines) - len(stay)
 
 
-def _frequent(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(doc: an id, hashes: array of the digests it holds that ``min_docs`` rows of ``docs`` hold)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _hashes(docs: DataFrame, text_col: str, min_chars: int, named: bool, id_col: str | None = None) -> DataFrame:
+    """A row for each distinct key of each row of ``docs``: its ``hash``, and if ``named`` the row's (h, mark)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(key_hashes(t, min_chars)) for t in batch.column(1).to_pylist()]
-        rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([h for x in found for h in x], pa.binary())], names=["doc", "hash"])
+        found = [sorted(key_hashes(t, min_chars)) for t in batch.column(0).to_pylist()]
+        hashes = pa.array([h for x in found for h in x], pa.binary())
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        return pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), hashes], names=[*batch.schema.names[1:], "hash"])
+
+    text = utf8(quoted(text_col)).alias("text")
+    if not named:
+        return map_batches(dealt(docs.select(text)), run, "hash binary")
+    return map_batches(docs.select(text, F.xxhash64(quoted(id_col)).alias("h"), F.md5(utf8(quoted(text_col))).alias("mark")), run, "h long, mark string, hash binary")
 
-    keys = checkpoint(map_batches(docs.select(quoted(id_col).alias("id"), utf8(quoted(text_col)).alias("text")), run, f"doc {kind}, hash binary"))
-    # a table of its own, so that both sides of the join are dealt anew and Spark can split a line that very many rows hold
-    often = checkpoint(keys.groupBy("hash").count().where(F.col("count") >= min_docs).select("hash"))
-    return keys.join(often, "hash").groupBy("doc").agg(F.collect_set("hash").alias("hashes"))
 
+def _without_frequent(docs: DataFrame, columns: list[Column], id_col: str, text_col: str, min_docs: int, min_chars: int) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[set[bytes]]]]:
+    """``columns`` of ``docs`` and its text as bytes, and what tells, for a batch of them, the digests to drop from each row.
 
-def _with_dropped(docs: DataFrame, columns: list[Column], id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """``columns`` of ``docs``, then its text as bytes and the digests to drop from it."""
-    found = _frequent(docs, id_col, text_col, min_docs, min_chars)
-    return docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found["doc"]), "left").select(*columns, utf8(docs[f"`{text_col}`"]).alias("__text"), found["hashes"].alias("__hashes"))
+    Up to ``FEW`` frequent digests are broadcast and each row drops its own of them; texts
+    stay where they are. Beyond that the digests go back to the rows that hold them, rows of
+    one id and text being one, and texts are joined with them.
+    """
+    often = checkpoint(_hashes(docs, text_col, min_chars, False).groupBy("hash").count().where(F.col("count") >= min_docs).select("hash"))
+    text = utf8(docs[f"`{text_col}`"]).alias(private("__text", docs))
+    if often.count() <= FEW:
+        every = docs.sparkSession.sparkContext.broadcast({bytes(r.hash) for r in often.collect()})
+        return dealt(docs.select(*columns, text)), lambda batch: [every.value] * batch.num_rows
+    held = _hashes(docs, text_col, min_chars, True, id_col)  # dealt anew, so that Spark can split a line that very many rows hold
+    own = held.join(often, "hash").groupBy("h", "mark").agg(F.collect_set("hash").alias("hashes"))
+    joined = docs.join(own, (F.xxhash64(docs[f"`{id_col}`"]) == own["h"]) & (F.md5(utf8(docs[f"`{text_col}`"])) == own["mark"]), "left")
+    return joined.select(*columns, text, own["hashes"].alias(private("__hashes", docs))), lambda batch: [set(h or ()) for h in batch.column(batch.num_columns - 1).to_pylist()]
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -71,15 +86,15 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_chars`` code points are never dropped. An empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = _with_dropped(docs, [docs[f"`{id_col}`"].alias("id")], id_col, text_col, min_docs, min_chars)
+    source, dropped = _without_frequent(docs, [docs[f"`{id_col}`"].alias("id")], id_col, text_col, min_docs, min_chars)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [drop_lines(t, set(h or ())) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        out = [drop_lines(t, h) for t, h in zip(batch.column(1).to_pylist(), dropped(batch), strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([hashlib.sha256(x[1]).hexdigest() for x in out], pa.string())], names=["id", "n_lines", "n_dropped", "kept_sha256"]
         )
 
-    return map_batches(joined, run, f"id {kind}, n_lines long, n_dropped long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return map_batches(source, run, f"id {kind}, n_lines long, n_dropped long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -90,37 +105,40 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     names, types = docs.columns, docs.schema
     at, size = names.index(text_col), names.index(size_col) if size_col in names else -1
-    joined = _with_dropped(docs, [docs[f"`{c}`"] for c in names], id_col, text_col, min_docs, min_chars)
+    source, dropped = _without_frequent(docs, [docs[f"`{c}`"] for c in names], id_col, text_col, min_docs, min_chars)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns, k = list(batch.columns[:-2]), batch.num_columns
+        columns = list(batch.columns[: len(names)])
         texts, sizes = columns[at].to_pylist(), columns[size].to_pylist() if size >= 0 else []
-        for i, (text, hashes) in enumerate(zip(batch.column(k - 2).to_pylist(), batch.column(k - 1).to_pylist(), strict=True)):
+        for i, (text, hashes) in enumerate(zip(batch.column(len(names)).to_pylist(), dropped(batch), strict=True)):
             if hashes and texts[i] is not None:
-                texts[i] = drop_lines(text, set(hashes))[1].decode(errors="replace")
-                if size >= 0:
-                    sizes[i] = len(texts[i])
+                _, kept, n = drop_lines(text, hashes)
+                if n:
+                    texts[i] = kept.decode(errors="replace")
+                    if size >= 0:
+                        sizes[i] = len(texts[i])
         columns[at] = pa.array(texts, columns[at].type)
         if size >= 0:
             columns[size] = pa.array(sizes, columns[size].type)
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(joined, run, types)
+    return map_batches(source, run, types)
 
 
 ORACLE = r"""
-with lines as (
-    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-    from documents
+with docs as (
+    select row_number() over () as r, doc_id, coalesce(text, '') as text from documents
+), lines as (
+    select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from docs
 ), keyed as (
-    select doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+    select r, doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
     from lines
 ), often as (
-    select k from keyed where length(k) >= 1 group by k having count(distinct doc_id) >= 10
+    select k from keyed where length(k) >= 1 group by k having count(distinct r) >= 10
 ), marked as (
     select keyed.*, often.k is not null as drop_it from keyed left join often using (k)
 )
 select doc_id, count(*) as n_lines, count(*) filter (drop_it) as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not drop_it), '')) as kept_sha256
-from marked group by doc_id
+from marked group by r, doc_id
 """

@@ -135,16 +135,21 @@ def plain_lines(rows, least):
     return out
 
 
-def test_lines_against_plain(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_lines_against_plain(spark, monkeypatch, few):
+    """Frequent lines broadcast, and joined."""
+    monkeypatch.setattr(ld, "FEW", few)
     rng = random.Random(4)
     lines = ["Shared line", " shared LINE\t", "rare", "", "   ", "Été", "été", "x\r"] + [f"own {i}" for i in range(30)]
-    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(60)] + ODD
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 9)))) for i in range(60)] + ODD + [(None, "Shared line\nrare\nmine"), (None, "own 3\nown 3"), (60, "own 3"), (60, "own 4\nown 5")]
     got = ld.line_report(documents(spark, rows), min_docs=5).collect()
     assert sorted(map(tuple, got), key=str) == sorted(plain_lines(rows, 5), key=str)
     assert ld.line_report(documents(spark, [])).count() == 0
 
 
-def test_lines_dropped_in_place(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_lines_dropped_in_place(spark, monkeypatch, few):
+    monkeypatch.setattr(ld, "FEW", few)
     rows = [(i, f"head\nbody {i}\nhead") for i in range(4)] + [(9, None), (10, "")]
     got = {r.doc_id: (r.text, r.n_chars) for r in ld.dedup_lines(documents(spark, rows), min_docs=3).collect()}
     assert got[2] == ("body 2", 6) and got[9] == (None, 0) and got[10] == ("", 0)
