@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches, quoted
+from .common import dealt, map_batches, quoted
 from .spans import Mapped, joined, sha256
 
 KINDS = ("email", "ip", "card", "phone")
@@ -238,4 +238,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     source = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text"))
-    return map_batches(source, run, f"id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, n_added long").withColumnRenamed("id", id_col)
+    return map_batches(dealt(source), run, f"id {kind}, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, n_added long").withColumnRenamed("id", id_col)

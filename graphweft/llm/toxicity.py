@@ -4,6 +4,11 @@ A text is the set of its words, hashed to ``1 << BITS`` buckets. The score is th
 function of a bias, a weight for each term and, for each couple of terms, the product of
 their factor vectors, so that a couple (an insult and the mention of a group, say) can
 weigh more, or less, than its two terms.
+
+Terms come to the machine in two ways: alone, if texts that hold them are toxic more or less
+often than others, and as couples, if texts that hold both are so more or less often than the
+two let expect. So words that say nothing alone and much together are not lost before the
+machine sees them.
 """
 
 from __future__ import annotations
@@ -17,12 +22,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, prepare, quoted
+from .common import checkpoint, dealt, map_batches, prepare, quoted
 from .language_id import bounded
 
-#: Bounds of what is learned: labelled rows read, terms kept; and what a kept term must show.
-MAX_ROWS, MAX_TERMS, MIN_DF, MIN_Z = 20_000, 1_024, 5, 4.0
-BITS, FACTORS, SEED = 20, 8, 7
+#: Bounds of what is learned: labelled rows read, terms kept alone, and terms whose couples are looked at and couples kept.
+MAX_ROWS, MAX_TERMS, SCREENED, MAX_COUPLES = 20_000, 1_024, 1_024, 256
+#: What a kept term must show: texts that hold it, and standard errors from the mean; and a couple: the surprise in nats, beyond chance among half a million couples, and the shift.
+MIN_DF, MIN_Z, MIN_SURPRISE, MIN_SHIFT = 5, 4.0, 17.0, 0.15
+BITS, FACTORS, SEED, STEPS = 20, 8, 7, 1_200
 WORD = re.compile(r"[^\W\d_]+")
 _ROOM = 300_000
 
@@ -67,17 +74,41 @@ class FactorizationMachine:
         return replace(self, bias=self.bias - float(z[at] + z[at + 1]) / 2)
 
 
+def couples(x: np.ndarray, labels: np.ndarray, most: int = MAX_COUPLES) -> list[tuple[int, int]]:
+    """Couples of columns of ``x`` (rows by terms, 0 or 1) whose rows are labelled 1 more or less often than their two terms let expect.
+
+    What is expected adds the log odds of the two. The surprise is the binomial tail's
+    exponent; the most surprising come first.
+    """
+    y = np.asarray(labels, dtype=np.float32)
+    n_rows, n_terms = x.shape
+    together, hits = np.zeros((n_terms, n_terms), np.float32), np.zeros((n_terms, n_terms), np.float32)
+    for i in range(0, n_rows, 4096):
+        part = x[i : i + 4096].astype(np.float32)
+        together += part.T @ part
+        toxic = part[y[i : i + 4096] == 1]
+        hits += toxic.T @ toxic
+    odds = lambda h, n: np.log((h + 0.5) / (n - h + 0.5))
+    alone = odds(np.diag(hits), np.diag(together))
+    expected = 1 / (1 + np.exp(-np.clip(alone[:, None] + alone[None, :] - odds(y.sum(), n_rows), -12, 12)))
+    seen = np.clip(hits / np.maximum(together, 1), 1e-6, 1 - 1e-6)
+    surprise = together * (seen * np.log(seen / expected) + (1 - seen) * np.log((1 - seen) / (1 - expected)))
+    a, b = np.nonzero(np.triu((together >= MIN_DF) & (surprise >= MIN_SURPRISE) & (np.abs(seen - expected) >= MIN_SHIFT), 1))
+    order = np.lexsort((b, a, -surprise[a, b]))[:most]
+    return list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+
+
 def train(rows: list[list[int]], labels: np.ndarray, n_terms: int, epochs: int = 60, rate: float = 0.2, l2: float = 5e-5, l2_factors: float = 1e-3, positive: float = 3.0, batch: int = 256, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors that fit rows of distinct columns, by AdaGrad; a row labelled 1 weighs ``positive`` rows labelled 0."""
+    """Bias, weights and factors that fit rows of distinct columns, by AdaGrad; a row labelled 1 weighs ``positive`` rows labelled 0. Few rows are gone through more often, for ``STEPS`` steps at least."""
     rng = np.random.default_rng(seed)
     x = np.zeros((len(rows), n_terms), dtype=np.uint8)
     for i, columns in enumerate(rows):
         x[i, columns] = 1
     y = np.asarray(labels, dtype=np.float32)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    b, w, v = float(np.log(share / (1 - share))), np.zeros(n_terms, np.float32), rng.normal(0, 0.02, (n_terms, FACTORS)).astype(np.float32)
+    b, w, v = float(np.log(share / (1 - share))), np.zeros(n_terms, np.float32), rng.normal(0, 0.05, (n_terms, FACTORS)).astype(np.float32)
     gb, gw, gv = 1e-6, np.full(n_terms, 1e-6, np.float32), np.full((n_terms, FACTORS), 1e-6, np.float32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // max(1, -(-len(rows) // batch))))):
         order = rng.permutation(len(rows))
         for start in range(0, len(rows), batch):
             part = order[start : start + batch]
@@ -95,13 +126,14 @@ def train(rows: list[list[int]], labels: np.ndarray, n_terms: int, epochs: int =
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
     """Learn from a hash sample of about ``max_rows`` rows of ``labels`` (id, 0/1; others and nulls ignored) and their texts.
 
-    The sample's ids are broadcast, its size being bounded; terms are counted and chosen in
-    Spark. The driver gets the chosen terms and, for each sampled row, those it holds.
+    Equal texts of one label count once. The sample's ids are broadcast, its size being
+    bounded; terms are counted in Spark. The driver gets the chosen terms and, for each
+    sampled row, those it holds.
     """
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     sample = bounded(known, F.col("id"), max_rows)
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).where("text is not null")
-    joined = texts.join(F.broadcast(sample), "id").select("y", "text")
+    joined = texts.join(F.broadcast(sample), "id").select("y", "text").dropDuplicates()
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         terms = [sorted({bucket(w) for w in set(WORD.findall(t.lower()))}) for t in batch.column(1).to_pylist()]
@@ -113,14 +145,24 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
         return FactorizationMachine({}, 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     p = min(max(positive / n, 1e-3), 1 - 1e-3)
     z = F.abs(F.col("hits") / F.col("n") - p) / F.sqrt(F.lit(p * (1 - p)) / F.col("n"))
-    chosen = features.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).where(F.col("n") >= MIN_DF)
-    chosen = chosen.withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms).collect()
-    terms = {r.term: i for i, r in enumerate(chosen)}
-    held = F.array_intersect("terms", F.array(*[F.lit(t) for t in terms]).cast("array<int>"))
-    rows = features.select("y", held.alias("held")).collect()
-    unique = sorted({(tuple(sorted(terms[t] for t in r.held)), r.y) for r in rows if r.held}) + [((), r.y) for r in rows if not r.held]
-    b, w, v = train([list(c) for c, _ in unique], np.array([y for _, y in unique]), len(terms))
-    return FactorizationMachine(terms, b, w, v).centred([list(c) for c, _ in unique], np.array([y for _, y in unique]))
+    counted = checkpoint(features.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).where(F.col("n") >= MIN_DF).withColumn("z", z))
+    alone = [r.term for r in counted.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms).collect()]
+    screened = [r.term for r in counted.where(F.col("hits") >= MIN_DF).orderBy(F.desc("hits"), "term").limit(SCREENED).collect()]
+    candidates = {t: i for i, t in enumerate(dict.fromkeys([*alone, *screened]))}
+    held = F.array_intersect("terms", F.array(*[F.lit(t) for t in candidates]).cast("array<int>"))
+    rows = [([candidates[t] for t in r.held], r.y) for r in features.select("y", held.alias("held")).toLocalIterator()]
+    rows.sort()
+    labels_ = np.array([y for _, y in rows])
+    x = np.zeros((len(rows), len(candidates)), dtype=np.uint8)
+    for i, (columns, _) in enumerate(rows):
+        x[i, columns] = 1
+    place = np.array([candidates[t] for t in screened], dtype=np.int64)
+    chosen = sorted({candidates[t] for t in alone} | {int(place[i]) for c in couples(x[:, place], labels_) for i in c})
+    at = {c: i for i, c in enumerate(chosen)}
+    kept = [[at[c] for c in columns if c in at] for columns, _ in rows]
+    names = list(candidates)
+    b, w, v = train(kept, labels_, len(chosen))
+    return FactorizationMachine({names[c]: i for c, i in at.items()}, b, w, v).centred(kept, labels_)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", keep: dict[str, Column] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -153,4 +195,4 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text",
         scores = [one(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[*names, "score", "predicted"])
 
-    return map_batches(source, run, f"{kinds}score double, predicted int")
+    return map_batches(dealt(source), run, f"{kinds}score double, predicted int")
