@@ -52,6 +52,7 @@ def copies(seed, n, low=30, high=120):
 def test_against_all_couples(spark, monkeypatch, seed, short, least):
     """Lists short and long, shingles frequent and none."""
     monkeypatch.setattr(jc, "SHORT", short)
+    monkeypatch.setattr(jc, "BLOCK", 8 if short == 2 else 1024)
     monkeypatch.setattr(jc, "MIN_DF", least)
     rows = copies(seed, 150) + [(1000 + i, f"one two three four five {i}") for i in range(20)]
     got = sorted(((r.doc_id, r.component_id) for r in jc.near_duplicates(documents(spark, rows)).collect()), key=str)
