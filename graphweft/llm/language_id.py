@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, prepare, quoted
+from .common import checkpoint, dealt, map_batches, prepare, quoted
 
 #: Bounds of what is learned: labelled documents read, words and n-grams kept.
 MAX_DOCS, MAX_WORDS, MAX_GRAMS = 6_000, 60_000, 40_000
@@ -34,7 +34,8 @@ def held_out(id_col: Column, buckets: int, bucket: int) -> Column:
 
 
 def grams(word: str, n: int) -> list[str]:
-    w = f"_{word}_"
+    """The word's n-grams, its ends marked; single characters are its own only, as the mark alone says nothing."""
+    w = f"_{word}_" if n > 1 else word
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
@@ -63,7 +64,8 @@ def bounded(df: DataFrame, key: Column, most: int) -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, orders: tuple[int, ...] = ORDERS) -> LanguageModel:
     """Learn from a hash sample of about ``max_docs`` rows with neither text nor language null.
 
-    Counting is distributed; the driver gets ``max_words`` + ``max_grams`` rows at most.
+    Counting is distributed; the driver gets ``max_words`` + ``max_grams`` terms at most, with
+    their counts in each language. Frequencies of n-grams are among those of their length.
     """
     rows = docs.select(quoted(text_col).alias("text"), quoted(lang_col).cast("string").alias("lang"), quoted(id_col).alias("id")).where("text is not null and lang is not null")
 
@@ -83,17 +85,21 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     schema = "lang string, term string, n long"
     total = lambda df: df.groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    words = checkpoint(total(map_batches(bounded(rows, F.col("id"), max_docs).select("text", "lang"), count_words, schema)))
-    sizes = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(sizes)
-
-    def vectors(counts: DataFrame, most: int) -> dict[str, tuple[float, ...]]:
+    words = checkpoint(total(map_batches(dealt(bounded(rows, F.col("id"), max_docs).select("text", "lang")), count_words, schema)))
+    pieces = checkpoint(total(map_batches(words, count_grams, schema)))
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+
+    def vectors(counts: DataFrame, most: int, kind: Column) -> dict[str, tuple[float, ...]]:
+        """Log frequencies, among all terms of their kind, of the ``most`` commonest terms, in every language."""
+        sizes = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("n")).collect()}
+        top = counts.groupBy("term").agg(F.sum("n").alias("all"), kind.alias("kind")).where(F.col("all") > 1).orderBy(F.desc("all"), "term").limit(most)
         by_term: dict[str, dict[str, int]] = {}
-        for r in counts.where("n > 1").orderBy(F.desc("n"), "term", "lang").limit(most).collect():
-            by_term.setdefault(r.term, {})[r.lang] = r.n
-        return {t: tuple(float(np.log((c.get(x, 0) + 0.1) / (sizes[x] + 1))) for x in langs) for t, c in by_term.items()}
+        kinds: dict[str, int] = {}
+        for r in counts.join(F.broadcast(top), "term").toLocalIterator():
+            by_term.setdefault(r.term, {})[r.lang], kinds[r.term] = r.n, r.kind
+        return {t: tuple(float(np.log((c.get(x, 0) + 0.1) / (sizes.get((x, kinds[t]), 0) + 1))) for x in langs) for t, c in sorted(by_term.items())}
 
-    return LanguageModel(langs, vectors(words, max_words), vectors(total(map_batches(words, count_grams, schema)), max_grams), tuple(orders))
+    return LanguageModel(langs, vectors(words, max_words, F.lit(0)), vectors(pieces, max_grams, F.length("term")), tuple(orders))
 
 
 class Scorer:
@@ -109,26 +115,50 @@ class Scorer:
         if self.at:
             self.table[: len(self.at)] = list(self.model.words.values())
 
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The words' rows in the table; each distinct word is looked up once."""
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.at) + len(distinct) > len(self.table):
+            self.forget()
+        where = np.empty(len(distinct), dtype=np.int64)
+        for j, w in enumerate(distinct):
+            i = self.at.get(w)
+            if i is None:
+                i = self.at[w] = len(self.at)
+                self.table[i] = self.model.backoff(w)
+            where[j] = i
+        return where[np.asarray(coded.indices)]
+
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """The sum of the words' vectors of each text, a step of words at a time."""
+        out, flat = np.zeros((len(texts), max(1, self.k))), [w for t in texts for w in t]
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        for s in range(0, len(flat), _STEP):
+            own = owner[s : s + _STEP]
+            starts = np.nonzero(np.r_[True, own[1:] != own[:-1]])[0]
+            out[own[starts]] += np.add.reduceat(self.table_rows(flat[s : s + _STEP]), starts, axis=0)
+        return out
+
+    def table_rows(self, words: list[str]) -> np.ndarray:
+        at = self.rows(words)  # may start a new table
+        return self.table[at]
+
+    def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, share) of each text."""
+        split = [WORD.findall((t or "").lower()) for t in texts]
+        told = [bool(self.k) and any(c.isalpha() for w in words for c in w) for words in split]  # \w has number signs that are no letters
+        out, known = [(UNDETERMINED, 0.0)] * len(texts), [i for i, ok in enumerate(told) if ok]
+        if known:
+            mean = self.totals([split[i] for i in known]) / np.array([[len(split[i])] for i in known])
+            best = mean.argmax(axis=1)
+            share = 1 / np.exp(mean - mean.max(axis=1, keepdims=True)).sum(axis=1)
+            for i, b, p in zip(known, best.tolist(), share.tolist(), strict=True):
+                out[i] = (self.model.langs[b], p)
+        return out
+
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall((text or "").lower())
-        if not self.k or not any(c.isalpha() for w in words for c in w):  # \w has number signs that are no letters
-            return UNDETERMINED, 0.0
-        total = np.zeros(self.k)
-        for start in range(0, len(words), _STEP):
-            if len(self.at) + _STEP > len(self.table):
-                self.forget()
-            at, rows = self.at, []
-            for w in words[start : start + _STEP]:
-                i = at.get(w)
-                if i is None:
-                    i = at[w] = len(at)
-                    self.table[i] = self.model.backoff(w)
-                rows.append(i)
-            total += self.table[rows].sum(axis=0)
-        mean = total / len(words)
-        best = int(mean.argmax())
-        p = np.exp(mean - mean[best])
-        return self.model.langs[best], float(1 / p.sum())
+        return self.batch([text])[0]
 
 
 def _scorer(df: DataFrame, model: LanguageModel):
@@ -158,11 +188,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
     scorer = _scorer(docs, model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = scorer()
-        found = [score(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        found = scorer().batch(batch.column(batch.num_columns - 1).to_pylist())
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return map_batches(source, run, f"{kinds}lang_pred string, score double")
+    return map_batches(dealt(source), run, f"{kinds}lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_gain: float = 1.02) -> DataFrame:
@@ -170,14 +199,14 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     Rejected are texts that are null, empty or without letters and those that favour no
     language, scoring less than ``min_gain`` times what equal shares would give (a text of
-    letters the model never met has exactly those). Repeated rows fare alike.
+    letters the model never met has exactly those). Repeated rows fare alike; an empty table
+    gives an empty result; if nothing was learned every text goes.
     """
     least = min_gain / len(model.langs) if len(model.langs) > 1 else 0.0
     scorer, at = _scorer(docs, model), docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = scorer()
-        found = [score(t) for t in batch.column(at).to_pylist()]
+        found = scorer().batch(batch.column(at).to_pylist())
         return batch.filter(pa.array([x[0] != UNDETERMINED and x[1] >= least for x in found], pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(dealt(docs), run, docs.schema)

@@ -1,10 +1,13 @@
 """Language, toxicity, lines, mixing, secrets, personal data and decontamination."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +53,45 @@ def test_backoff_takes_the_longest_known_grams():
     assert m.backoff("q") == (0.0, 0.0)
 
 
+def plain_language(m, text):
+    """Word by word, from the definition: the mean of log frequencies, words before n-grams, long before short."""
+    words = [w for w in re.findall(r"[^\W\d_]+", (text or "").lower())]
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    total = [0.0] * len(m.langs)
+    for w in words:
+        v = m.words.get(w)
+        for n in range(5, 0, -1):
+            if v is None:
+                known = [m.grams[g] for g in (x[i : i + n] for x in [f"_{w}_" if n > 1 else w] for i in range(len(x) + 1 - n)) if g in m.grams]
+                v = [sum(x) / len(known) for x in zip(*known, strict=True)] if known else None
+        total = [a + b for a, b in zip(total, v or [0.0] * len(total), strict=True)]
+    mean = [x / len(words) for x in total]
+    best = max(range(len(mean)), key=lambda i: (mean[i], -i))
+    return m.langs[best], 1 / sum(math.exp(x - mean[best]) for x in mean)
+
+
+def test_languages_against_plain(language_model, monkeypatch):
+    monkeypatch.setattr(lid, "_STEP", 7)
+    rng = random.Random(9)
+    texts = [speech(rng, rng.choice(list(WORDS)), rng.randint(1, 30)) + " " + "".join(rng.choice("abcdeghlnrstuwz жß ²") for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts += [t for _, t in ODD if len(t or "") < 1000] + ["²", "wasserhaus", "x"]
+    got = lid.Scorer(language_model).batch(texts)
+    for t, (lang, p) in zip(texts, got, strict=True):
+        expected = plain_language(language_model, t)
+        assert p == pytest.approx(expected[1]) and (lang == expected[0] or expected[1] < 0.34), t
+
+
+def test_frequencies_against_counting(spark):
+    rows = [(1, "aa bb aa", "x", "s"), (2, "bb ccccc", "y", "s"), (3, "aa ccccc", "y", "s")]
+    m = lid.fit(documents(spark, rows), max_words=2, orders=(2, 1))
+    assert m.langs == ["x", "y"] and set(m.words) == {"aa", "bb"}  # the commonest, ties by name
+    assert m.words["aa"] == pytest.approx((math.log(2.1 / 4), math.log(1.1 / 5)))
+    # of two characters x has _a aa a_ _b bb b_ _a aa a_: 9 of them; y: 3 (bb) + 6 + 3 (aa) + 6
+    assert m.grams["aa"] == pytest.approx((math.log(2.1 / 10), math.log(1.1 / 19)))
+    assert m.grams["a"] == pytest.approx((math.log(4.1 / 7), math.log(2.1 / 15)))
+
+
 def test_language_rows(spark, language_model):
     got = lid.identify(documents(spark, ODD), language_model, keep={"doc_id": F.col("doc_id")}).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
@@ -82,24 +124,61 @@ def test_language_accuracy_held_out(spark):
 # --- toxicity ------------------------------------------------------------------------------
 
 
-def test_machine_learns_what_weights_alone_cannot(spark):
-    """Neither word is toxic alone, the couple is, and so is a text with neither of them."""
-    rng = random.Random(2)
-    rows, labels = [], []
-    for i in range(600):
+def insults_and_groups(rng, n, start=0):
+    """Texts that hold an insult, a group, both or neither; toxic are those with both."""
+    fill, rows = [f"{w}{k}" for w in "stone river green light".split() for k in range(60)], []
+    for i in range(start, start + n):
         a, b = rng.random() < 0.5, rng.random() < 0.5
-        rows.append((i, " ".join(["filler", *(["insult"] if a else []), *(["group"] if b else [])])))
-        labels.append((i, int(a == b)))
-    y = spark.createDataFrame(labels, "doc_id long, toxic int")
-    rows_, ys = [], []
-    for (_, t), (_, l) in zip(rows, labels, strict=True):
-        rows_.append([k for k, w in enumerate(("filler", "insult", "group")) if w in t.split()])
-        ys.append(l)
-    b, w, v = toxicity.train(rows_, ys, 3, epochs=400)
-    machine = toxicity.FactorizationMachine({}, b, w, v)
-    assert machine.score([0, 1, 2]) > 0.5 and machine.score([0]) > 0.5
-    assert machine.score([0, 1]) < 0.5 and machine.score([0, 2]) < 0.5
-    assert y.count() == 600
+        words = [rng.choice(fill) for _ in range(6)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(a and b), int(a == b)))
+    return rows
+
+
+def fitted(spark, rows, label):
+    return toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[label]) for r in rows], "doc_id long, toxic int"))
+
+
+def columns_of(model, text):
+    return sorted({model.terms[b] for w in text.split() if (b := toxicity.bucket(w)) in model.terms})
+
+
+def test_fit_learns_what_weights_alone_cannot(spark):
+    """Neither word is toxic alone: texts with both or neither are. Without its factors the machine fails."""
+    rng = random.Random(2)
+    m = fitted(spark, insults_and_groups(rng, 2000), 3)
+    assert {toxicity.bucket("insult"), toxicity.bucket("group")} <= set(m.terms)
+    held_out = insults_and_groups(rng, 500, 5000)
+    right = lambda model: sum((model.score(columns_of(model, t)) >= 0.5) == y for _, t, _, y in held_out) / len(held_out)
+    assert right(m) > 0.97
+    assert right(replace(m, factors=np.zeros_like(m.factors))) < 0.8
+
+
+def test_logit_against_all_couples():
+    rng = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine({}, 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    for held in ([], [2], [0, 3, 8], list(range(9))):
+        plain = 0.3 + sum(m.weights[i] for i in held) + sum(float(m.factors[i] @ m.factors[j]) for i in held for j in held if i < j)
+        assert m.logit(held) == pytest.approx(plain)
+        assert m.score(held) == pytest.approx(1 / (1 + np.exp(-plain)))
+
+
+def test_couples_against_counting():
+    rng = random.Random(5)
+    rows = [[int(rng.random() < 0.4) for _ in range(6)] for _ in range(900)]
+    y = [int((r[1] and r[4]) or rng.random() < 0.05) for r in rows]
+    assert toxicity.couples(np.array(rows, np.uint8), np.array(y))[0] == (1, 4)
+    assert toxicity.couples(np.array(rows, np.uint8), np.array([int(rng.random() < 0.3) for _ in rows])) == []
+
+
+@needs_data
+def test_toxicity_held_out(spark):
+    from graphweft.llm.queries import QUERIES
+
+    data = DATA.replace("sf0.001", "sf0.01")
+    got = QUERIES["op2_toxicity"](spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").collect()
+    caught, toxic, flagged = sum(r.predicted and r.toxic for r in got), sum(r.toxic for r in got), sum(r.predicted for r in got)
+    assert toxic >= 5 and caught / toxic >= 0.6 and caught / flagged >= 0.95  # some labels stand on texts without any toxic word
 
 
 def test_toxicity_rows(spark):
