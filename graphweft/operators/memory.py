@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass, field
 
@@ -48,7 +49,7 @@ class Memory:
     def store(self, query: str, answer: str, context: str = "", intent: str = "", strategy: str = "", quality: float = 0.0, subgraph_json: str = "", domain: str = "default", now: float | None = None) -> None:
         """Append one memory; a failing embedding is stored as null."""
         now = time.time() if now is None else now
-        row = (f"{now:.6f}-{abs(hash(query)) % 10**8}", query, self._vector(query), answer, context, intent, strategy, float(quality), subgraph_json, domain, float(now))
+        row = (f"{now:.6f}-{hashlib.sha256(query.encode()).hexdigest()[:12]}", query, self._vector(query), answer, context, intent, strategy, float(quality), subgraph_json, domain, float(now))
         self.spark.createDataFrame([row], SCHEMA).write.mode("append").partitionBy("domain").parquet(self.path)
         self.session[query] = {"answer": answer, "context": context, "intent": intent}
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graph import Graph
-from ..sources.shared import checkpoint
+from ..sources.shared import Tables, checkpoint
 
 EDGE = ["source_id", "source_label", "rel_type", "target_id", "target_label"]
 EDGE_KEY = ["source_id", "rel_type", "target_id"]
@@ -68,18 +68,31 @@ def frontier(graph: Graph, ids: list[str]) -> DataFrame:
     return graph.spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
 
 
-def anchored(edges: DataFrame, column: str, ids: list[str]) -> DataFrame:
-    """Edges whose ``column`` is among the ids: a pushed-down filter for few of them, else a semi-join with them broadcast (they are a literal list of the driver's)."""
+def anchored(graph: Graph, column: str, ids: list[str], rel_type: str = "") -> DataFrame:
+    """Edges whose ``column`` is among the ids: filtered where they are read for few of them, else a semi-join with them broadcast (they are a literal list of the driver's)."""
     if len(ids) <= _FEW:
-        return edges.where(F.col(column).isin(list(ids)))
-    at = edges.sparkSession.createDataFrame([(i,) for i in ids], "anchor string")
+        return graph.edges_at(column, ids, rel_type).select(*EDGE)
+    edges = (graph.edges.where(F.col("rel_type") == rel_type) if rel_type else graph.edges).select(*EDGE)
+    at = graph.spark.createDataFrame([(i,) for i in ids], "anchor string")
     return edges.join(F.broadcast(at), F.col(column) == F.col("anchor"), "left_semi")
 
 
-def at_hand(frontier: DataFrame) -> DataFrame:
-    """The frontier, computed and counted: broadcast up to ``FRONTIER_ROWS``, so that a hop doesn't shuffle the edges; beyond that a plain side of the join."""
+def either_anchored(graph: Graph, ids: list[str]) -> DataFrame:
+    """Edges from the ids in either direction."""
+    if len(ids) <= _FEW:
+        return graph.either_way_at(ids)
+    at = graph.spark.createDataFrame([(i,) for i in ids], "anchor string")
+    return graph.either_way().join(F.broadcast(at), F.col("source_id") == F.col("anchor"), "left_semi")
+
+
+def ahead(graph: Graph, frontier: DataFrame, rel_type: str = "") -> tuple[DataFrame, DataFrame]:
+    """The frontier (with ``at``), computed, and the edges to join to it: of a few ids only theirs, else all. Up to ``FRONTIER_ROWS`` it is broadcast, so that a hop doesn't shuffle the edges; beyond that it is a plain side of the join."""
     done = checkpoint(frontier)
-    return F.broadcast(done) if done.count() <= FRONTIER_ROWS else done
+    ids = [r["at"] for r in done.select("at").distinct().limit(_FEW + 1).collect()]
+    if len(ids) <= _FEW:
+        return F.broadcast(done) if done.count() <= FRONTIER_ROWS else done, graph.edges_at("source_id", ids, rel_type).select(*EDGE)
+    edges = graph.edges.where(F.col("rel_type") == rel_type) if rel_type else graph.edges
+    return F.broadcast(done) if done.count() <= FRONTIER_ROWS else done, edges.select(*EDGE)
 
 
 def _labels(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -96,11 +109,11 @@ def _capped(edges: DataFrame, n: int | None) -> DataFrame:
 def targeted(graph: Graph, ids: list[str], relationship: str, source_label: str = "", target_label: str = "", anchor: str = "source", limit: int | None = TARGETED_ROWS) -> DataFrame:
     """One hop over one type. ``either`` takes edges in both orientations and keeps those with an entry at either end."""
     if anchor == "either":
-        e = _labels(graph.either_way().where(F.col("rel_type") == relationship), source_label, target_label)
-        found = anchored(e, "source_id", ids).unionByName(anchored(e, "target_id", ids)).dropDuplicates(EDGE_KEY)
+        e = anchored(graph, "source_id", ids, relationship).unionByName(anchored(graph, "target_id", ids, relationship))
+        e = e.unionAll(e.select(F.col("target_id").alias("source_id"), F.col("target_label").alias("source_label"), "rel_type", F.col("source_id").alias("target_id"), F.col("source_label").alias("target_label")))
     else:
-        e = _labels(graph.edges.where(F.col("rel_type") == relationship), source_label, target_label)
-        found = anchored(e, "target_id" if anchor == "target" else "source_id", ids).dropDuplicates(EDGE_KEY)
+        e = anchored(graph, "target_id" if anchor == "target" else "source_id", ids, relationship)
+    found = _labels(e, source_label, target_label).dropDuplicates(EDGE_KEY)
     return _capped(found, limit)
 
 
@@ -123,12 +136,12 @@ def chained_paths(graph: Graph, ids: list[str], entry_label: str, hops: list[Hop
     """Whole paths over a fixed sequence of typed hops; nothing for those that end early."""
     paths = None
     for hop in hops:
-        e = graph.edges.where(F.col("rel_type") == hop.relationship).select(*EDGE)
-        e = _labels(e, entry_label if paths is None else "", hop.target_label)
         if paths is None:
-            paths = anchored(e, "source_id", ids).select(F.array(_edge_struct()).alias("path"), F.col("target_id").alias("at"))
+            e = _labels(anchored(graph, "source_id", ids, hop.relationship), entry_label, hop.target_label)
+            paths = e.select(F.array(_edge_struct()).alias("path"), F.col("target_id").alias("at"))
         else:
-            paths = at_hand(paths).join(e, F.col("at") == F.col("source_id")).select(F.array_append("path", _edge_struct()).alias("path"), F.col("target_id").alias("at"))
+            near, e = ahead(graph, paths, hop.relationship)
+            paths = near.join(_labels(e, "", hop.target_label), F.col("at") == F.col("source_id")).select(F.array_append("path", _edge_struct()).alias("path"), F.col("target_id").alias("at"))
     return paths.select("path")
 
 
@@ -142,16 +155,14 @@ def _open_ended(paths: DataFrame) -> DataFrame:
 
 def trails(graph: Graph, ids: list[str], min_hops: int = MIN_HOPS, max_hops: int = MAX_HOPS) -> DataFrame:
     """Directed trails: no edge twice, nodes as often as they come, the end not the start."""
-    e = graph.edges.select(*EDGE)
-    key = lambda x: F.concat_ws("~", x["source_id"], x["rel_type"], x["target_id"])
-    level = anchored(e, "source_id", ids).select(F.array(_edge_struct()).alias("path"))
+    same = lambda x: (x["source_id"] == F.col("source_id")) & (x["rel_type"] == F.col("rel_type")) & (x["target_id"] == F.col("target_id"))
+    level = anchored(graph, "source_id", ids).select(F.array(_edge_struct()).alias("path"))
     found = []
     for k in range(1, max_hops + 1):
         if k > 1:
-            level = at_hand(level.withColumn("at", F.element_at("path", -1)["target_id"]))
+            level, e = ahead(graph, level.withColumn("at", F.element_at("path", -1)["target_id"]))
             found[-1:] = [_open_ended(level)] if found else []
-            ahead = level.join(e, F.col("at") == F.col("source_id"))
-            level = ahead.where(~F.exists("path", lambda x: key(x) == F.concat_ws("~", "source_id", "rel_type", "target_id"))).select(F.array_append("path", _edge_struct()).alias("path"))
+            level = level.join(e, F.col("at") == F.col("source_id")).where(~F.exists("path", same)).select(F.array_append("path", _edge_struct()).alias("path"))
         if k >= min_hops:
             found.append(_open_ended(level))
     out = found[0]
@@ -176,15 +187,22 @@ def shortest_paths(graph: Graph, ids: list[str], max_hops: int = SHORTEST_HOPS)
     Of several shortest paths the one with the least sequence of node ids, then of types.
     The search goes level by level from every a at once: a level keeps one path per node
     newly reached and joins those with the edges; it ends when all couples are settled.
-    Labels are looked up at the end, so what is carried is ids and types.
+    Labels are looked up at the end, so what is carried is ids and types. Levels of a few
+    nodes read their own edges; the first larger one writes all edges, ids and types in both
+    directions, once for the levels after it.
     """
-    both = graph.either_way().select(F.col("source_id").alias("u"), "rel_type", F.col("target_id").alias("v"))
+    short = lambda e: e.select(F.col("source_id").alias("u"), "rel_type", F.col("target_id").alias("v"))
+    every, tables = None, Tables(graph.spark)
     pairs = checkpoint(entry_pairs(graph, ids))
     total = pairs.count()
     nodes, types = F.array("a").alias("nodes"), F.array().cast("array<string>").alias("types")
     level = pairs.select("a").distinct().select("a", F.col("a").alias("at"), nodes, types)
     near, seen, found = F.broadcast(level), level.select("a", "at"), None  # as many rows as entries
     for _ in range(max_hops if total else 0):
+        ids = [r["at"] for r in level.select("at").distinct().limit(_FEW + 1).collect()]
+        if len(ids) > _FEW and every is None:
+            every = tables.write(short(graph.either_way()))
+        both = every if len(ids) > _FEW else short(graph.either_way_at(ids))
         step = near.join(both, F.col("at") == F.col("u")).select("a", F.col("v").alias("at"), F.struct(F.array_append("nodes", F.col("v")).alias("nodes"), F.array_append("types", F.col("rel_type")).alias("types")).alias("p"))
         fresh = step.join(seen, ["a", "at"], "left_anti").groupBy("a", "at").agg(F.min("p").alias("p"))
         level = checkpoint(fresh.select("a", "at", "p.nodes", "p.types"))
@@ -216,18 +234,18 @@ def shortest_path(graph: Graph, ids: list[str], max_hops: int = SHORTEST_HOPS, l
 def shared_neighbor(graph: Graph, ids: list[str], min_connections: int = MIN_CONNECTIONS) -> DataFrame:
     """Edges from the entries to every node adjacent, in either direction, to enough of them."""
     need = min(min_connections, len(set(ids)))
-    near = anchored(graph.either_way(), "source_id", ids).dropDuplicates(EDGE_KEY)
+    near = either_anchored(graph, ids).dropDuplicates(EDGE_KEY)
     shared = near.groupBy("target_id").agg(F.count_distinct("source_id").alias("n")).where(F.col("n") >= need)
     return near.join(shared.select("target_id"), "target_id", "left_semi").select(*EDGE)
 
 
 def general(graph: Graph, ids: list[str], limit: int | None = GENERAL_ROWS) -> DataFrame:
-    return _capped(anchored(graph.edges, "source_id", ids).dropDuplicates(EDGE_KEY), limit)
+    return _capped(anchored(graph, "source_id", ids).dropDuplicates(EDGE_KEY), limit)
 
 
 def neighbors(graph: Graph, node_id: str, limit: int = 5) -> DataFrame:
     """Undirected neighbours (rel_type, id, label) of one node."""
-    e = graph.either_way().where(F.col("source_id") == node_id)
+    e = graph.either_way_at([node_id])
     return e.select("rel_type", F.col("target_id").alias("id"), F.col("target_label").alias("label")).distinct().orderBy("id", "rel_type").limit(limit)
 
 

@@ -82,12 +82,12 @@ def extract_triples(spark, sf_dir):
     return c.extract_triples(e.select(F.col("event_id").alias("chunk"), reply.alias("reply")), min_confidence=0.2)
 
 
-_MEMBERS = "members as (select distinct l_suppkey % 40 as type, l_partkey % 29 as entity from lineitem where l_orderkey % 50 = 0)"
+_MEMBERS = "members as (select distinct l_suppkey % 40 as type, l_partkey % 797 as entity from lineitem)"
 
 
 def _members(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 50 = 0")
-    return li.select((F.col("l_suppkey") % 40).alias("type"), (F.col("l_partkey") % 29).alias("entity")).distinct()
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return li.select((F.col("l_suppkey") % 40).alias("type"), (F.col("l_partkey") % 797).alias("entity")).distinct()
 
 
 @query(f"with {_MEMBERS}, n as (select type, count(*) as n from members group by 1), met as (select a.type as a, b.type as b, count(*) as k from members a join members b using (entity) where a.type < b.type group by 1, 2) select a, b, round(k / (x.n + y.n - k), 6) as similarity from met join n x on x.type = a join n y on y.type = b where k / (x.n + y.n - k) >= 0.7".replace("k / (", "k::double / ("))

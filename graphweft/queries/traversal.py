@@ -88,16 +88,21 @@ def variable_hop_2_2(spark, sf_dir):
     return t.variable_hop(from_tables(spark, sf_dir), ["Supplier:90"], 2, 2, None)
 
 
+def _levels(most: int) -> str:
+    """Breadth-first levels l1 to l<most> from every a, with the least path to each node newly reached."""
+    first = "l1 as (select a, target_id as spot, min([a, target_id]) as nodes from (select distinct a from pairs) join both_ways on source_id = a where target_id <> a group by 1, 2)"
+    new = lambda k: " ".join(f"and not exists (select 1 from l{i} s where s.a = l{k - 1}.a and s.spot = target_id)" for i in range(1, k))
+    return ", ".join([first, *(f"l{k} as (select l{k - 1}.a, target_id as spot, min(list_append(nodes, target_id)) as nodes from l{k - 1} join both_ways on source_id = l{k - 1}.spot where target_id <> l{k - 1}.a {new(k)} group by 1, 2)" for k in range(2, most + 1))])
+
+
 @query(
     f"""with {EDGES}, {BOTH}, seeds as (select unnest(['Customer:1', 'Nation:1', 'Supplier:1']) as id), pairs as (select x.id as a, y.id as b from seeds x join seeds y on x.id < y.id),
-    l1 as (select a, target_id as spot, min([a, target_id]) as nodes from (select distinct a from pairs) join both_ways on source_id = a where target_id <> a group by 1, 2),
-    l2 as (select l1.a, target_id as spot, min(list_append(nodes, target_id)) as nodes from l1 join both_ways on source_id = l1.spot where target_id <> l1.a and not exists (select 1 from l1 s where s.a = l1.a and s.spot = target_id) group by 1, 2),
-    l3 as (select l2.a, target_id as spot, min(list_append(nodes, target_id)) as nodes from l2 join both_ways on source_id = l2.spot where target_id <> l2.a and not exists (select 1 from l1 s where s.a = l2.a and s.spot = target_id) and not exists (select 1 from l2 s where s.a = l2.a and s.spot = target_id) group by 1, 2),
-    found as (select * from l1 union all select * from l2 union all select * from l3)
+    {_levels(t.SHORTEST_HOPS)},
+    found as ({" union all ".join(f"select * from l{k}" for k in range(1, t.SHORTEST_HOPS + 1))})
     select pairs.a, pairs.b, (len(nodes) - 1)::int as n_hops, array_to_string(nodes, ' ') as path from pairs join found on found.a = pairs.a and spot = pairs.b"""
 )
 def shortest_path_pairs(spark, sf_dir):
-    found = t.shortest_paths(from_tables(spark, sf_dir), ["Customer:1", "Nation:1", "Supplier:1"], 3)
+    found = t.shortest_paths(from_tables(spark, sf_dir), ["Customer:1", "Nation:1", "Supplier:1"])
     return found.select("a", "b", (F.size("nodes") - 1).alias("n_hops"), F.array_join("nodes", " ").alias("path"))
 
 
@@ -197,6 +202,18 @@ def edge_resolve_by_name(spark, sf_dir):
     return resolve_by_name(g.labelled(["Nation", "Region"]), rels)
 
 
+@query(
+    f"""with {EDGES}, {NODES}, few as (select {COLUMNS} from edges where rel_type = 'LOCATED_IN' and source_id in ('Supplier:1', 'Supplier:2'))
+    select source_id, source_label, s.name as source_name, rel_type, '{{}}' as rel_props, target_id, target_label, t.name as target_name from few join nodes s on s.id = source_id join nodes t on t.id = target_id"""
+)
+def edge_rows_with_properties(spark, sf_dir):
+    """The full edge row; of the ends' properties their names, as SQL has them."""
+    g = from_tables(spark, sf_dir)
+    rows = t.with_properties(g, t.targeted(g, ["Supplier:1", "Supplier:2"], "LOCATED_IN"))
+    name = lambda end: F.get_json_object(f"{end}_props", "$.name").alias(f"{end}_name")
+    return rows.select("source_id", "source_label", name("source"), "rel_type", "rel_props", "target_id", "target_label", name("target"))
+
+
 @query(f"with {NODES} select id, label, name from nodes where label in ('Nation', 'Supplier')")
 def node_scan_labels(spark, sf_dir):
     return from_tables(spark, sf_dir).labelled(["Nation", "Supplier"]).select("id", "label", "name")

@@ -10,12 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import value_type
+from .shared import checkpoint
 
 NODE_SCHEMA = "id string, label string, name string, props string"
 EDGE_SCHEMA = "source_id string, source_label string, rel_type string, rel_props string, target_id string, target_label string"
 PROP_SCHEMA = "id string, label string, key string, value string, type string"
 
 
+_EDGE = ["source_id", "source_label", "rel_type", "target_id", "target_label"]
+
+
+def _flipped() -> list[Column]:
+    return [F.col("target_id").alias("source_id"), F.col("target_label").alias("source_label"), F.col("rel_type"), F.col("source_id").alias("target_id"), F.col("source_label").alias("target_label")]
+
+
+@dataclass(frozen=True)
+class EdgePart:
+    """The edges of one type in a table: two key columns, and how rows with equal ends fold."""
+
+    rel_type: str
+    source: str
+    target: str
+    rows: DataFrame  # (s, t)
+    fold: str
+
+    def edges(self, rows: DataFrame | None = None) -> DataFrame:
+        t = (self.rows if rows is None else rows).where("s is not null and t is not null")
+        t = t.distinct() if self.fold == "distinct" else t.groupBy("s").agg(F.min("t").alias("t")) if self.fold == "least" else t
+        return t.select(_ident(self.source, "s").alias("source_id"), F.lit(self.source).alias("source_label"), F.lit(self.rel_type).alias("rel_type"), F.lit("{}").alias("rel_props"), _ident(self.target, "t").alias("target_id"), F.lit(self.target).alias("target_label"))
+
+    def at(self, column: str, ids: list[str]) -> DataFrame | None:
+        """The edges with an end among the ids; None if no id has that end's label and a key of its type."""
+        end, label = ("s", self.source) if column == "source_id" else ("t", self.target)
+        whole = self.rows.schema[end].dataType.typeName() in ("byte", "short", "integer", "long")
+        keys = [i[len(label) + 1 :] for i in ids if i.startswith(label + ":")]
+        if whole:
+            keys = [int(k) for k in keys if k.lstrip("-").isascii() and k.lstrip("-").isdigit() and str(int(k)) == k]
+        if not keys:
+            return None
+        held = F.col(end).isin(keys)
+        if self.fold == "least" and end == "t":  # which target is least is told by all rows of a source
+            return self.edges().where(F.col(column).isin([f"{label}:{k}" for k in keys]))
+        return self.edges(self.rows.where(held))
+
+
+def _ident(label: str, key: str) -> Column:
+    return F.concat(F.lit(label + ":"), F.col(key).cast("string"))
+
+
 @dataclass(frozen=True)
 class Graph:
     """nodes(id, label, name, props JSON), edges with both labels beside the ids, and the properties one a row.
@@ -28,6 +70,7 @@ class Graph:
     edges: DataFrame
     properties: DataFrame
     searchable: dict[str, list[str]] = field(default_factory=dict)
+    parts: tuple[EdgePart, ...] = ()
 
     @property
     def spark(self) -> SparkSession:
@@ -38,11 +81,27 @@ class Graph:
         labels = list(labels)
         return self.nodes.where(F.col("label").isin(labels)) if labels else self.nodes
 
+    def edges_at(self, column: str, ids: list[str], rel_type: str = "") -> DataFrame:
+        """Edges, of one type if named, whose ``column`` (source_id or target_id) is among a few ids, filtered where they are read.
+
+        A view of tables skips the tables that hold no such end and filters the others' keys
+        before it folds their rows; a saved graph filters the column.
+        """
+        if not self.parts:
+            e = self.edges.where(F.col("rel_type") == rel_type) if rel_type else self.edges
+            return e.where(F.col(column).isin(list(ids)))
+        found = [e for part in self.parts if not rel_type or part.rel_type == rel_type if (e := part.at(column, ids)) is not None]
+        return _union(found) if found else self.edges.limit(0)
+
+    def either_way_at(self, ids: list[str], rel_type: str = "") -> DataFrame:
+        """Edges from the ids in either direction, in the columns of ``either_way``, with the id as their source."""
+        there, back = self.edges_at("source_id", ids, rel_type).select(*_EDGE), self.edges_at("target_id", ids, rel_type).where("source_id <> target_id")
+        return there.unionAll(back.select(*_flipped()))
+
     def either_way(self) -> DataFrame:
         """Each edge in both orientations; a loop stands for both of its own."""
-        e = self.edges.select("source_id", "source_label", "rel_type", "target_id", "target_label")
-        back = e.where("source_id <> target_id").select(F.col("target_id").alias("source_id"), F.col("target_label").alias("source_label"), "rel_type", F.col("source_id").alias("target_id"), F.col("source_label").alias("target_label"))
-        return e.unionAll(back)
+        e = self.edges.select(*_EDGE)
+        return e.unionAll(e.where("source_id <> target_id").select(*_flipped()))
 
     def save(self, path: str) -> None:
         """Write the graph; labels and relationship types become partitions, edges are sorted by source."""
@@ -85,11 +144,18 @@ def _py_type(value) -> str:
 
 
 def merge(nodes: DataFrame, relationships: DataFrame) -> Graph:
-    """Upsert: one node per (label, name), later rows' properties over earlier ones by name; edges join their ends by name over all labels, one per (source, type, target)."""
+    """Upsert: one node per (label, name), later rows' properties over earlier ones by name; edges join their ends by name over all labels, one per (source, type, target).
+
+    Rows are in the order of a column ``ord`` of ``nodes``, or, without one, as they come.
+    """
     n = nodes.withColumn("id", F.concat_ws(":", "label", "name"))
-    props = n.select("id", "label", F.explode(F.arrays_zip("keys", "values", "types")).alias("p")).select("id", "label", F.col("p.keys").alias("key"), F.col("p.values").alias("value"), F.col("p.types").alias("type"))
-    named = n.where("name is not null").select("id", "label", F.lit("name").alias("key"), F.col("name").alias("value"), F.lit("String").alias("type"))
-    props = props.unionByName(named).dropDuplicates(["id", "key"])
+    if "ord" not in nodes.columns:
+        n = checkpoint(n.withColumn("ord", F.monotonically_increasing_id()))
+    cells = F.posexplode(F.arrays_zip("keys", "values", "types")).alias("i", "p")
+    props = n.select("id", "label", "ord", cells).select("id", "label", F.col("p.keys").alias("key"), F.col("p.values").alias("value"), F.col("p.types").alias("type"), F.struct("ord", "i").alias("ord"))
+    named = n.where("name is not null").select("id", "label", F.lit("name").alias("key"), F.col("name").alias("value"), F.lit("String").alias("type"), F.struct(F.col("ord"), F.lit(-1).alias("i")).alias("ord"))
+    last = props.unionByName(named).groupBy("id", "label", "key").agg(F.max_by(F.struct("value", "type"), "ord").alias("v"))
+    props = last.select("id", "label", "key", "v.value", "v.type")
     text = props.groupBy("id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))).alias("props"))
     one = n.select("id", "label", "name").dropDuplicates(["id"]).join(text, "id", "left").select("id", "label", "name", F.coalesce("props", F.lit("{}")).alias("props"))
     return Graph(one, resolve_by_name(one, relationships), props)
@@ -133,20 +199,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def from_tables(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph view of the benchmark tables; a query reads only the tables its labels and types need."""
     read = cache(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))  # a footer is read once per table, not per label and type
-    ident = lambda label, key: F.concat(F.lit(label + ":"), F.col(key).cast("string"))
-    nodes, props, edges = [], [], []
+    nodes, props, parts = [], [], []
     for label, table, key, name, more in NODE_TABLES:
         t = read(table)
         shown = ((("name", name, "String"),) if name else ()) + more
-        nodes.append(t.select(ident(label, key).alias("id"), F.lit(label).alias("label"), (F.col(name) if name else F.lit(None).cast("string")).alias("name"), F.to_json(F.struct(*[F.col(c).alias(p) for p, c, _ in shown])).alias("props")))
+        nodes.append(t.select(_ident(label, key).alias("id"), F.lit(label).alias("label"), (F.col(name) if name else F.lit(None).cast("string")).alias("name"), F.to_json(F.struct(*[F.col(c).alias(p) for p, c, _ in shown])).alias("props")))
         cells = F.array(*[F.struct(F.lit(p).alias("key"), F.col(c).cast("string").alias("value"), F.lit(k).alias("type")) for p, c, k in shown])
-        props.append(t.select(ident(label, key).alias("id"), F.lit(label).alias("label"), F.explode(cells).alias("p")).select("id", "label", "p.key", "p.value", "p.type"))
+        props.append(t.select(_ident(label, key).alias("id"), F.lit(label).alias("label"), F.explode(cells).alias("p")).select("id", "label", "p.key", "p.value", "p.type"))
     for kind, source, source_key, target, target_key, table, fold in EDGE_TABLES:
-        t = read(table).select(F.col(source_key).alias("s"), F.col(target_key).alias("t")).where("s is not null and t is not null")
-        t = t.distinct() if fold == "distinct" else t.groupBy("s").agg(F.min("t").alias("t")) if fold == "least" else t
-        edges.append(t.select(ident(source, "s").alias("source_id"), F.lit(source).alias("source_label"), F.lit(kind).alias("rel_type"), F.lit("{}").alias("rel_props"), ident(target, "t").alias("target_id"), F.lit(target).alias("target_label")))
+        parts.append(EdgePart(kind, source, target, read(table).select(F.col(source_key).alias("s"), F.col(target_key).alias("t")), fold))
     named = {label: ["name"] for label, _, _, name, _ in NODE_TABLES if name}
-    return Graph(_union(nodes), _union(edges), _union(props), named | {"Order": ["priority", "status"]})
+    return Graph(_union(nodes), _union([p.edges() for p in parts]), _union(props), named | {"Order": ["priority", "status"]}, tuple(parts))
 
 
 def from_wide(nodes: DataFrame, label: str, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:

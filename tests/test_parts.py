@@ -221,3 +221,44 @@ def test_a_hop_on_a_saved_graph_is_pushed_to_the_scan(spark, tmp_path):
     plan = hop._jdf.queryExecution().executedPlan().toString()
     assert "rel_type" in plan.split("PartitionFilters: [")[1].split("]")[0] and "source_" in plan.split("PushedFilters: [")[1].split("]")[0]
     assert "rel_props" not in plan.split("ReadSchema: ")[1]
+
+
+def test_an_anchor_on_tables_is_pushed_to_the_scan(spark, tmp_path):
+    from graphweft.operators import traverse as t
+    from graphweft.sources.graph import EDGE_TABLES, NODE_TABLES, from_tables
+
+    for table in {n[1] for n in NODE_TABLES} | {e[5] for e in EDGE_TABLES}:
+        columns = {c: "long" for n in NODE_TABLES if n[1] == table for c in [n[2], *filter(None, [n[3]]), *(m[1] for m in n[4])]} | {c: "long" for e in EDGE_TABLES if e[5] == table for c in (e[2], e[4])}
+        spark.createDataFrame([tuple(range(1, len(columns) + 1))], ", ".join(f"{c} {k}" for c, k in columns.items())).write.parquet(f"{tmp_path}/{table}.parquet")
+    g = from_tables(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    hop = plan(t.targeted(g, ["Customer:1", "Customer:4"], "PLACED", "Customer", "Order"))
+    assert hop.count("FileScan") == 1 and "In(o_custkey, [1,4])" in hop.split("PushedFilters: [")[1]
+    hop = plan(t.targeted(g, ["Part:1"], "SUPPLIES", "Supplier", "Part", "target"))
+    assert hop.count("FileScan") == 1 and "EqualTo(l_partkey,1)" in hop
+    assert plan(t.general(g, ["Supplier:1", "Customer:7", "Customer:07", "Customer:x", "Nowhere:1"])).count("FileScan") == 4  # LOCATED_IN, SUPPLIES, LIVES_IN, PLACED
+    assert t.general(g, ["Nowhere:1", "Customer:x"]).count() == 0
+
+
+def test_later_properties_win(spark):
+    rows = [("a", "L", {"x": 1, "y": 1}), ("b", "L", {"x": 5}), ("a", "L", {"x": 2}), ("a", "L", {"z": 3, "x": 4})]
+    g = graphs.build(spark, rows, [("a", "R", "b")])
+    assert {(r.key, r.value) for r in g.properties.where("id = 'L:a'").collect()} == {("x", "4"), ("y", "1"), ("z", "3"), ("name", "a")}
+    n = spark.createDataFrame([(2, "a", "L", ["x"], ["new"], ["String"]), (1, "a", "L", ["x"], ["old"], ["String"])], "ord int, name string, label string, keys array<string>, values array<string>, types array<string>")
+    assert graphs.merge(n, spark.createDataFrame([], "source string, type string, target string")).properties.where("key = 'x'").first().value == "new"
+
+
+def test_trails_tell_edges_apart_by_their_parts(spark):
+    """Two edges whose parts, joined, read alike."""
+    from graphweft.operators import traverse as t
+
+    edges = spark.createDataFrame([("a", "L", "R~a", "{}", "b", "L"), ("b", "L", "S", "{}", "a~R", "L"), ("a~R", "L", "a", "{}", "b", "L")], graphs.EDGE_SCHEMA)
+    g = graphs.Graph(spark.createDataFrame([], graphs.NODE_SCHEMA), edges, spark.createDataFrame([], graphs.PROP_SCHEMA))
+    assert max(len(r.path) for r in t.trails(g, ["a"], 1, 3).collect()) == 3
+
+
+def test_memory_ids_repeat(spark, tmp_path):
+    for k in range(2):
+        memory.Memory(spark, str(tmp_path / str(k))).store("what?", "that", now=5.0)
+    a, b = (memory.Memory(spark, str(tmp_path / str(k))).table().first().id for k in range(2))
+    assert a == b
