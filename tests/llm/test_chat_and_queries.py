@@ -85,38 +85,3 @@ def test_all_are_registered(spark):
 
     names = set(__spark_entry__.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {x[: x.index("_") + 1] for x in names if x.startswith("op")} and "pipeline" in names
-
-
-@needs_data
-def test_pipeline_against_a_plain_version(spark):
-    import corpus_pipeline
-    from graphweft.llm import language_id as lid
-
-    from .test_simhash import plain_components, plain_print
-    from .test_texts import plain_contamination, plain_lines, plain_targets
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    scorer = lid.Scorer(lid.fit(docs))
-    rows = [r for r in docs.collect() if scorer(r.text)[1] * len(scorer.model.langs) >= 1.02 and scorer(r.text)[0] != "und"]
-    texts = [(r.doc_id, r.text) for r in rows]
-    report = {x[0]: x[2] for x in plain_lines(texts, 10)}
-    key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(" \t\n\v\f\r"))
-    seen = Counter(k for _, t in texts for k in {key(x) for x in t.split("\n")})
-    texts = [(i, "\n".join(x for x in t.split("\n") if seen[key(x)] < 10 or not key(x))) for i, t in texts]
-    prints = [plain_print(t) for _, t in texts]
-    texts = [x for x, c in zip(texts, plain_components(prints, [i for i, _ in texts]), strict=True) if x[0] == c]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    bad = {x[0] for x in plain_contamination(texts, items) if x[5]}
-    texts = {i: t for i, t in texts if i not in bad}
-    source = {r.doc_id: r.source for r in rows}
-    sizes = Counter()
-    for i, t in texts.items():
-        sizes[source[i]] += len(t.split())
-    target = plain_targets(dict(sizes))
-    got = corpus_pipeline.run(spark, DATA).collect()
-    copies = Counter(r.doc_id for r in got)
-    assert set(copies) <= set(texts) and all(r.text == texts[r.doc_id] and r.n_chars == (len(r.text) if report[r.doc_id] else r.n_chars) for r in got)
-    for i in texts:
-        rate = target[source[i]] / sizes[source[i]] if sizes[source[i]] else 0
-        assert math.floor(rate) <= copies[i] <= math.ceil(rate + 1e-9)
-    assert sum(copies.values()) > 0.8 * len(texts)
