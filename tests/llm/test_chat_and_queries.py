@@ -2,7 +2,6 @@
 
 import math
 import os
-from collections import Counter
 
 import duckdb
 import pytest
