@@ -26,6 +26,7 @@ ORDERS = (5, 4, 3, 2, 1)
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 _ROOM, _STEP = 300_000, 50_000  # unseen words a worker remembers at once, words scored in one step
+_CHARS = 1 << 19  # characters of the texts whose words are in memory together; a longer text is alone
 
 
 def held_out(id_col: Column, buckets: int, bucket: int) -> Column:
@@ -145,7 +146,16 @@ class Scorer:
         return self.table[at]
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, share) of each text."""
+        """(language, share) of each text; as many texts are split into words at once as ``_CHARS`` allows."""
+        out, start, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text or "")
+            if size > _CHARS and i > start:
+                out += self._group(texts[start:i])
+                start, size = i, len(text or "")
+        return out + self._group(texts[start:])
+
+    def _group(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [WORD.findall((t or "").lower()) for t in texts]
         told = [bool(self.k) and any(c.isalpha() for w in words for c in w) for words in split]  # \w has number signs that are no letters
         out, known = [(UNDETERMINED, 0.0)] * len(texts), [i for i, ok in enumerate(told) if ok]

@@ -73,6 +73,7 @@ def plain_language(m, text):
 
 def test_languages_against_plain(language_model, monkeypatch):
     monkeypatch.setattr(lid, "_STEP", 7)
+    monkeypatch.setattr(lid, "_CHARS", 100)
     rng = random.Random(9)
     texts = [speech(rng, rng.choice(list(WORDS)), rng.randint(1, 30)) + " " + "".join(rng.choice("abcdeghlnrstuwz жß ²") for _ in range(rng.randint(0, 40))) for _ in range(200)]
     texts += [t for _, t in ODD if len(t or "") < 1000] + ["²", "wasserhaus", "x"]
