@@ -411,6 +411,41 @@ def test_plain_prose_has_nothing(text):
     assert pii.find(text) == ([], [])
 
 
+def disguises(rng: random.Random) -> dict[str, list[str]]:
+    """Identifiers of each kind, each disguised in every way that suits the kind."""
+    words = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)
+    spoken = lambda s: " ".join(words[int(c)] for c in s if c.isdigit())
+    name, host, top = rng.choice(["maria.lopez", "t_weber", "jo-an", "k.sato77"]), rng.choice(["example", "mail-host", "northwind"]), rng.choice(["com", "org", "co.uk"])
+    mail, ip = f"{name}@{host}.{top}", [str(rng.randint(0, 255)) for _ in range(4)]
+    digits = [rng.randint(1, 9) for _ in range(15)]
+    card = next(c for k in range(10) if pii.luhn(c := "".join(map(str, digits)) + str(k)))
+    phone = "+" + "".join(str(rng.randint(1, 9)) for _ in range(11))
+    split = f"{name} {{at}} {host}" + "".join(f" {{dot}} {x}" for x in top.split("."))
+    return {
+        "email": [split.format(at=a, dot=d) for a, d in (("at", "dot"), ("[at]", "[dot]"), ("(at)", "(dot)"), ("@", "dot"), ("{at}", "{dot}"), ("AT", "DOT"))]
+        + [mail.replace("@", "&#64;"), mail.replace("@", "\uff20"), mail.replace("e", "\u0435", 1) if "e" in mail else mail.replace("o", "\u043e", 1), mail.replace("@", "\u200b@", 1)],
+        "ip": ["[.]".join(ip), " dot ".join(ip), "(dot)".join(ip), wide(".".join(ip)), " dot ".join(" ".join(words[int(c)] for c in x) for x in ip), "\u2024".join(ip)],
+        "card": [wide(card), spoken(card), "\u2011".join(card[i : i + 4] for i in range(0, 16, 4)), card[:8] + "\u200b" + card[8:], "-".join(words[int(c)] for c in card)],
+        "phone": ["plus " + spoken(phone), wide(phone), "\uff0b" + phone[1:], phone[:4] + "\u2011" + phone[4:8] + "\u2011" + phone[8:], phone[:5] + "\u00a0" + phone[5:]],
+    }
+
+
+def test_recall_of_disguises():
+    """At least 0.9 of the planted disguises of each kind are found, as the very spans planted."""
+    rng, planted, found, missed = random.Random(4), {}, {}, []
+    for _ in range(200):
+        for kind, ways in disguises(rng).items():
+            for way in ways:
+                before = " ".join(rng.choice(["please", "write", "über", "日本", "note:", "the"]) for _ in range(rng.randint(1, 6))) + ": "
+                _, added = pii.find(before + way + ", thanks")
+                hit = (kind, len(before), len(before) + len(way)) in added
+                planted[kind], found[kind] = planted.get(kind, 0) + 1, found.get(kind, 0) + hit
+                missed += [] if hit else [(kind, way, added)]
+    recall = {k: found[k] / planted[k] for k in planted}
+    assert min(recall.values()) >= 0.9, (recall, missed[:: max(1, len(missed) // 12)])
+
+
 def test_spans_map_back():
     m = Mapped("abcdef").edit([(1, 2, "XYZ"), (3, 4, "")]).edit([(0, 2, "-")])
     assert m.text == "-YZcef" and m.source(1, 3) == (1, 2) and m.source(3, 5) == (2, 5) and m.source(0, 1) == (0, 2)
