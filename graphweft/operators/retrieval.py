@@ -13,7 +13,7 @@ from . import schema
 ABSTRACT_MARKERS = ["why", "purpose", "reason", "explain", "how come", "what is the role", "what are the roles", "what is the use", "what are the uses", "overview", "summary", "describe"]
 # Rows, scores and lengths of the matching stages.
 EXACT_ROWS, PARTIAL_ROWS, FUZZY_ROWS, FUZZY_RESULTS, FUZZY_RATIO, FUZZY_LENGTH = 10, 10, 200, 5, 0.85, 3
-SEMANTIC_ROWS, SEMANTIC_RESULTS, SEMANTIC_WHOLE, SEMANTIC_SCORE, SEMANTIC_LENGTH, LABEL_ROWS = 500, 3, 5, 0.70, 2, 5
+SEMANTIC_RESULTS, SEMANTIC_WHOLE, SEMANTIC_SCORE, SEMANTIC_LENGTH, LABEL_ROWS = 3, 5, 0.70, 2, 5
 
 
 def candidates(queries: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,8 +69,23 @@ def match_fuzzy(graph: Graph, names: DataFrame, ratio: float = FUZZY_RATIO, rows
     return _first_rows(scored, limit, F.desc("score"), F.col("id"))
 
 
-def extract(graph: Graph, queries: DataFrame, text_col: str = "text", fuzzy: bool = True) -> DataFrame:
-    """(query_id, id, label, stage, ord): for every candidate the first stage that finds anything; a node once per query, by its first candidate."""
+def match_semantic(vectors: DataFrame, names: DataFrame, threshold: float = SEMANTIC_SCORE, limit: int = SEMANTIC_RESULTS) -> DataFrame:
+    """(candidate, id, label, score): for each of ``names`` (candidate, asked: its vector) the nearest of all ``vectors`` (id, label, embedding) by cosine, at least ``threshold``.
+
+    Names are a question's, broadcast after the bound is checked; null vectors are near nothing.
+    """
+    few = names.where("candidate <> '' and asked is not null").select("candidate", "asked").dropDuplicates(["candidate"])
+    few = F.broadcast(few) if few.limit(10_001).count() <= 10_000 else few
+    scored = vectors.where("embedding is not null").join(few, F.length("candidate") > SEMANTIC_LENGTH).select("candidate", "id", "label", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score"))
+    return _first_rows(scored.where(F.col("score") >= threshold), limit, F.desc("score"), F.col("id"))
+
+
+def extract(graph: Graph, queries: DataFrame, text_col: str = "text", fuzzy: bool = True, vectors: DataFrame | None = None, asked: DataFrame | None = None, threshold: float = SEMANTIC_SCORE) -> DataFrame:
+    """(query_id, id, label, stage, ord): for every candidate the first stage that finds anything; a node once per query, by its first candidate.
+
+    The fourth stage needs ``vectors`` (id, label, embedding) of nodes and ``asked``
+    (candidate, asked) of candidates.
+    """
     own = candidates(queries, text_col).select("query_id", "ord", "candidate")
     exact = match_exact(graph, own).withColumn("stage", F.lit(1))
     rest = own.join(exact.select("candidate").distinct(), "candidate", "left_anti")
@@ -78,7 +93,11 @@ def extract(graph: Graph, queries: DataFrame, text_col: str = "text", fuzzy: boo
     found = exact.unionByName(partial)
     if fuzzy:
         rest = rest.join(partial.select("candidate").distinct(), "candidate", "left_anti")
-        found = found.unionByName(match_fuzzy(graph, rest).drop("score").withColumn("stage", F.lit(3)))
+        near = match_fuzzy(graph, rest).drop("score").withColumn("stage", F.lit(3))
+        found = found.unionByName(near)
+    if vectors is not None and asked is not None:
+        rest = asked.join(own.select("candidate").distinct(), "candidate", "left_semi").join(found.select("candidate").distinct(), "candidate", "left_anti")
+        found = found.unionByName(match_semantic(vectors, rest, threshold).drop("score").withColumn("stage", F.lit(4)))
     hits = own.join(found, "candidate")
     return hits.groupBy("query_id", "id", "label").agg(F.min(F.struct("ord", "stage")).alias("x")).select("query_id", "id", "label", "x.stage", "x.ord")
 

@@ -42,8 +42,9 @@ class Result:
 class QuestionPipeline:
     """Answers questions over one graph by one configuration."""
 
-    def __init__(self, graph: Graph, config: dict, model: LanguageModel | None = None):
-        self.graph, self.config, self.model = graph, config, model
+    def __init__(self, graph: Graph, config: dict, model: LanguageModel | None = None, vectors: DataFrame | None = None):
+        """``vectors`` (id, label, embedding), made by the same model, let names and whole questions match by meaning."""
+        self.graph, self.config, self.model, self.vectors = graph, config, model, vectors
         self.patterns = {name: Pattern.of(spec) for name, spec in config["intent_patterns"].items()}
         rows = [(i, name, list(p.keywords)) for i, (name, p) in enumerate(self.patterns.items())]
         self.intents: DataFrame = graph.spark.createDataFrame(rows, "ord int, name string, keywords array<string>")
@@ -51,7 +52,7 @@ class QuestionPipeline:
         self.node_limit = config.get("general_traversal", {}).get("node_limit", 30)
 
     def entries(self, question: str) -> list[dict]:
-        """Nodes the question names, by candidate; else those the model names; else the busiest of a label it mentions."""
+        """Nodes the question names, by candidate; else those the model names; else the busiest of a label it mentions; else those nearest to it by meaning."""
         if not question.strip():
             return []
         found = self._matched(question)
@@ -60,11 +61,30 @@ class QuestionPipeline:
         if not found:
             top = retrieval.label_match(self.graph, question, sorted(self.graph.searchable))
             found = [{"id": r.id, "name": r.name} for r in top.collect()] if top is not None else []
-        return found
+        return found or self._meant(question)
+
+    def _asked(self, texts: list[str]) -> DataFrame | None:
+        """(candidate, asked): texts and their vectors; None without a model and vectors to compare with, or if the model fails."""
+        if self.model is None or self.vectors is None or not texts:
+            return None
+        try:
+            rows = [(t, [float(x) for x in self.model.embed_text(t)]) for t in texts]
+        except Exception:
+            return None
+        return self.graph.spark.createDataFrame(rows, "candidate string, asked array<double>")
+
+    def _meant(self, question: str) -> list[dict]:
+        asked = self._asked([question])
+        if asked is None:
+            return []
+        near = retrieval.match_semantic(self.vectors, asked, limit=retrieval.SEMANTIC_WHOLE).join(self.graph.nodes.select("id", "name"), "id")
+        return [{"id": r.id, "name": r.name} for r in sorted(near.collect(), key=lambda r: (-r.score, r.id))]
 
     def _matched(self, question: str) -> list[dict]:
         asked = self.graph.spark.createDataFrame([(0, question)], "query_id int, text string")
-        hits = retrieval.extract(self.graph, asked).join(self.graph.nodes.select("id", "name"), "id")
+        names = [r.candidate for r in retrieval.candidates(asked).collect()] if self.vectors is not None else []
+        found = retrieval.extract(self.graph, asked, vectors=self.vectors, asked=self._asked([n for n in names if len(n) > retrieval.SEMANTIC_LENGTH]))
+        hits = found.join(self.graph.nodes.select("id", "name"), "id")
         return [{"id": r.id, "name": r.name} for r in sorted(hits.collect(), key=lambda r: (r.ord, r.id))]
 
     def _matched_by_model(self, question: str) -> list[dict]:

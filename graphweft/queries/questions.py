@@ -49,43 +49,54 @@ def match_partial(spark, sf_dir):
     return retrieval.match_partial(from_tables(spark, sf_dir), _names(spark))
 
 
+#: Indel ratios of the couples of ``banded``, as SQL.
+_LCS = """pairs as (select distinct candidate, value from banded),
+    lcs as (select candidate, value, 0 as i, list_transform(range(0, length(value) + 1), lambda x: 0) as line from pairs union all
+        select candidate, value, i + 1, list_reduce(list_transform(range(1, length(value) + 1), lambda j: [j]), lambda acc, x: list_append(acc, (case when value[x[1]] = candidate[i + 1] then line[x[1]] + 1 else greatest(line[x[1] + 1], acc[len(acc)]) end)::bigint), [0::bigint])
+        from lcs where i < length(candidate)),
+    scored as (select candidate, value, 2.0::double * line[len(line)] / (length(candidate) + length(value)) as score from lcs where i = length(candidate))"""
 _FUZZY = ["natin_3", "red wdget", "regon_1", "smal ring"]
 
 
 @query(
     _values(_FUZZY).replace("with ", "with recursive ", 1) + """, primary_vals as (select id, label, lower(value) as value from props where (key = 'name' or (label = 'Order' and key = 'priority')) and value is not null),
     banded as (select candidate, id, label, value from (select *, row_number() over (partition by candidate order by id) as rk from names join primary_vals on length(value) between greatest(length(candidate) - length(candidate) // 2, 1) and length(candidate) + length(candidate) // 2) where rk <= 200),
-    pairs as (select distinct candidate, value from banded),
-    lcs as (select candidate, value, 0 as i, list_transform(range(0, length(value) + 1), lambda x: 0) as line from pairs union all
-        select candidate, value, i + 1, list_reduce(list_transform(range(1, length(value) + 1), lambda j: [j]), lambda acc, x: list_append(acc, (case when value[x[1]] = candidate[i + 1] then line[x[1]] + 1 else greatest(line[x[1] + 1], acc[len(acc)]) end)::bigint), [0::bigint])
-        from lcs where i < length(candidate)),
-    scored as (select candidate, value, 2.0::double * line[len(line)] / (length(candidate) + length(value)) as score from lcs where i = length(candidate))
+    """ + _LCS + """
     select candidate, id, label, round(score, 6) as score from (select candidate, id, label, score, row_number() over (partition by candidate order by score desc, id) as rk from banded join scored using (candidate, value) where score >= 0.85) where rk <= 5"""
 )
 def match_fuzzy(spark, sf_dir):
     return retrieval.match_fuzzy(from_tables(spark, sf_dir), _names(spark, _FUZZY)).withColumn("score", F.round("score", 6))
 
 
+_ASKED = {0: ("Which red widget?", ["red widget", "red", "widget"]), 1: ("nation_3", ["nation 3", "nation", "3"]), 2: ("Which smal ring?", ["smal ring", "smal", "ring"])}
+
+
 @query(
-    f"""with {PROPS}, vals as (select id, label, lower(value) as value from props where ((key = 'name') or (label = 'Order' and key in ('priority', 'status'))) and value is not null),
-    asked as (select * from (values (0, 0, 'red widget', 0), (0, 0, 'red', 1), (0, 0, 'widget', 2), (1, 0, 'nation_3', 0)) t(query_id, turn, candidate, ord)),
+    f"""with recursive {PROPS}, vals as (select id, label, key, lower(value) as value from props where ((key = 'name') or (label = 'Order' and key in ('priority', 'status'))) and value is not null),
+    asked as (select * from (values {", ".join(f"({q}, {c!r}, {n})" for q, (_, own) in _ASKED.items() for n, c in enumerate(own))}) t(query_id, candidate, ord)),
     exact as (select distinct candidate, id, label, 1 as stage from (select candidate, id, label, row_number() over (partition by candidate order by id) as rk from (select distinct candidate, id, label from asked join vals on value = candidate)) where rk <= 10),
-    part as (select candidate, id, label, 2 as stage from (select candidate, id, label, row_number() over (partition by candidate order by id) as rk from (select distinct candidate, id, label from asked join vals on contains(value, candidate) where candidate not in (select candidate from exact))) where rk <= 10),
-    found as (select * from exact union all select * from part)
+    part as (select distinct candidate, id, label, 2 as stage from (select candidate, id, label, row_number() over (partition by candidate order by id) as rk from (select distinct candidate, id, label from asked join vals on contains(value, candidate) where candidate not in (select candidate from exact))) where rk <= 10),
+    rest as (select distinct candidate from asked where length(candidate) > 3 and candidate not in (select candidate from exact union all select candidate from part)),
+    banded as (select candidate, id, label, value from (select *, row_number() over (partition by candidate order by id) as rk from rest join vals on length(value) between greatest(length(candidate) - length(candidate) // 2, 1) and length(candidate) + length(candidate) // 2 where key <> 'status') where rk <= 200),
+    {_LCS},
+    fuzzy as (select candidate, id, label, 3 as stage from (select candidate, id, label, row_number() over (partition by candidate order by score desc, id) as rk from banded join scored using (candidate, value) where score >= 0.85) where rk <= 5),
+    found as (select * from exact union all select * from part union all select * from fuzzy)
     select query_id, id, label, arg_min(stage, ord) as stage, min(ord) as ord from asked join found using (candidate) group by 1, 2, 3"""
 )
 def extract_entities(spark, sf_dir):
-    asked = spark.createDataFrame([(0, "Which red widget?"), (1, "nation_3")], "query_id int, text string")
-    asked = asked.withColumn("text", F.replace("text", F.lit("nation_3"), F.lit("nation_3")))
-    g = from_tables(spark, sf_dir)
-    own = retrieval.candidates(asked)
-    # the underscore is no letter of a keyword, so the second question's name is given as it is
-    named = spark.createDataFrame([(1, 0, "nation_3")], "query_id int, ord int, candidate string")
-    own = own.where("query_id = 0").select("query_id", "ord", "candidate").unionByName(named)
-    exact = retrieval.match_exact(g, own).withColumn("stage", F.lit(1))
-    rest = own.join(exact.select("candidate").distinct(), "candidate", "left_anti")
-    found = exact.unionByName(retrieval.match_partial(g, rest).withColumn("stage", F.lit(2)))
-    return own.join(found, "candidate").groupBy("query_id", "id", "label").agg(F.min(F.struct("ord", "stage")).alias("x")).select("query_id", "id", "label", "x.stage", "x.ord")
+    asked = spark.createDataFrame([(q, text) for q, (text, _) in _ASKED.items()], "query_id int, text string")
+    return retrieval.extract(from_tables(spark, sf_dir), asked)
+
+
+@query(
+    """with asked as (select 'vec ' || vec_id as candidate, embedding::double[] as e from embeddings where vec_id in (7, 11, 23)),
+    scored as (select candidate, vec_id::varchar as id, label::varchar as label, round(list_cosine_similarity(embedding::double[], e), 6) as score from embeddings, asked)
+    select candidate, id, label, score from (select *, row_number() over (partition by candidate order by score desc, id) as rk from scored where score >= 0.2) where rk <= 3"""
+)
+def match_semantic(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = table.where("vec_id in (7, 11, 23)").select(F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("candidate"), F.col("embedding").alias("asked"))
+    return retrieval.match_semantic(table.select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("label"), "embedding"), asked, 0.2)
 
 
 _INTENTS = [("connection", ["connected", "how is", "onou"]), ("overview", ["the on", "reth"]), ("shared", ["in common", "both", "er er"])]

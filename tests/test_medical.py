@@ -155,6 +155,24 @@ def test_rejection_abstract_and_answers(graph, pipeline):
     assert r.context in r.answer
 
 
+def test_names_and_questions_match_by_meaning(spark, graph):
+    class Meaning(Offline):
+        def embed_text(self, text):
+            if "broken" in text:
+                raise RuntimeError("overloaded")
+            return [1.0, 0.0] if "xyzzy" in text or "qx" in text else [0.0, 0.0]
+
+    (aspirin, ibuprofen), model = ids("Aspirin", "Ibuprofen"), Meaning()
+    vectors = spark.createDataFrame([(aspirin, "Drug", [1.0, 0.1]), (ibuprofen, "Drug", [0.2, 0.9]), (ibuprofen, "Drug", None)], "id string, label string, embedding array<double>")
+    pipeline = QuestionPipeline(graph, sample.CONFIG, model, vectors)
+    assert pipeline.entries("What does xyzzy do?") == [{"id": aspirin, "name": "Aspirin"}]  # a candidate's fourth stage
+    assert pipeline.entries("qx?") == [{"id": aspirin, "name": "Aspirin"}]  # too short a candidate: the whole question
+    assert pipeline.entries("quux?") == pipeline.entries("broken quux?") == []
+    assert [e["name"] for e in pipeline.entries("What treats headaches?")] == [e["name"] for e in QuestionPipeline(graph, sample.CONFIG).entries("What treats headaches?")]
+    stages = retrieval.extract(graph, spark.createDataFrame([(0, "xyzzy or ibuprofen")], "query_id int, text string"), vectors=vectors, asked=spark.createDataFrame([("xyzzy", [1.0, 0.0]), ("ibuprofen", [1.0, 0.0])], "candidate string, asked array<double>"))
+    assert {(r.id, r.stage) for r in stages.collect()} == {(aspirin, 4), (ibuprofen, 1)}  # a name found before is not looked for by meaning
+
+
 def test_evaluation_suite(spark, pipeline):
     cases = [
         evaluation.Case("effects", "coverage", "What are the side effects of aspirin?", expect_min_facts=1, expect_rel_types=("CAUSES",)),
