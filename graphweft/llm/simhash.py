@@ -13,11 +13,15 @@ at most 65,536 different fingerprints, however large the corpus.
 
 Copies have one fingerprint and are folded before the index. A list reports a spanning
 forest of its links, never all pairs.
+
+Near-duplicates by similarity differ in more bits than two. For them ``near_fingerprints`` keeps
+a list for each couple of positional bytes: six differing bits leave two bytes shared, and
+of those that differ in more most still share two. Its pairs are candidates for an exact check.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, dealt, map_batches, matching, private, quoted, spanning_forest, utf8, without
+from .common import checkpoint, dealt, map_batches, matching, prepare, private, quoted, spanning_forest, utf8, without
 from ..operators.components import connected_components
 
 SEED = 42
@@ -34,6 +38,8 @@ CAP = 1024
 COUPLES = ((0, 1), (2, 3), (4, 5), (6, 7))
 #: Sets of four positions: one of them is shared by any pair with at most two unequal bytes.
 KEYS = [a + b for a, b in combinations(COUPLES, 2)]
+#: Bits that candidates for an exact check may differ in, shared positional bytes they are tallied by, pairs that a list gives of one member.
+WIDE_BITS, SHARED, NEAR = 12, 2, 2
 _CHUNK = 1 << 15
 
 
@@ -58,6 +64,14 @@ def simhash(text: bytes, width: int = 3, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingle hashes: bit i is set if over half of them set it."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -142,6 +156,48 @@ def fingerprint_links(fps: DataFrame, cap: int = CAP) -> DataFrame:
     return links.distinct()
 
 
+def list_pairs(lists: np.ndarray, fps: np.ndarray, fresh: int = 0, max_bits: int = WIDE_BITS, cap: int = CAP, near: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint from place ``fresh`` on the nearest ``near`` before it in its list, of at most ``cap``, within ``max_bits``; both arrays sorted by list and fingerprint."""
+    at, made, bits, a, b = np.arange(fresh, len(fps)), np.zeros(len(fps), dtype=np.int64), fps.view(np.uint64), [fps[:0]], [fps[:0]]
+    for back in range(1, cap):
+        at = at[at >= back]
+        at = at[(lists[at] == lists[at - back]) & (made[at] < near)]
+        if not len(at):
+            break
+        hit = at[np.bitwise_count(bits[at] ^ bits[at - back]) <= max_bits]
+        made[hit] += 1
+        a.append(fps[hit - back])
+        b.append(fps[hit])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_fingerprints(fps: DataFrame, max_bits: int = WIDE_BITS, cap: int = CAP, near: int = NEAR) -> DataFrame:
+    """Pairs (a < b) of distinct fingerprints ``fp`` that share two positional bytes and differ in ``max_bits`` or fewer.
+
+    Any two that differ in six bits or fewer share two bytes and meet in a list. A list
+    gives no more than ``near`` pairs of each member, so a dense group costs no square: what
+    is to be whole needs a way for the pairs not given.
+    """
+    prepare(fps.sparkSession)
+    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+    keys = [F.lit(i << 16) + byte(p) * 256 + byte(q) for i, (p, q) in enumerate(combinations(range(8), SHARED))]
+    index = fps.select(F.explode(F.array(*keys)).alias("list"), "fp").repartition("list").sortWithinPartitions("list", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = held = np.empty(0, dtype=np.int64)
+        for batch in batches:
+            fresh = len(held)
+            lists, held = np.concatenate([lists, np.asarray(batch.column(0))]), np.concatenate([held, np.asarray(batch.column(1))])
+            a, b = list_pairs(lists, held, fresh, max_bits, cap, near)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            if len(lists):
+                tail = max(int(np.searchsorted(lists, lists[-1])), len(lists) - cap + 1)
+                lists, held = lists[tail:], held[tail:]
+
+    return index.mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, cap: int = CAP) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row of ``docs``.
 

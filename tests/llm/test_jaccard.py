@@ -90,6 +90,41 @@ def test_pipeline_stage_drops_copies_beyond_two_bits(spark):
     assert out.columns == documents(spark, rows).columns
 
 
+def changed_at(seed, places, n=120):
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(500)}" for _ in range(n)]
+    return " ".join(words), " ".join("other" if i in places else w for i, w in enumerate(words))
+
+
+def reach(x, y):
+    """(differing bits, shared positional bytes) of the fingerprints of two texts' sets."""
+    x, y = (jc.set_print(jc.shingles(t.encode())) for t in (x, y))
+    return bin(x ^ y).count("1"), sum(x >> 8 * i & 255 == y >> 8 * i & 255 for i in range(8))
+
+
+def test_pipeline_stage_links_through_the_fingerprint_index(spark, monkeypatch):
+    """Without prefix lists: near copies within the index's reach are linked all the same, others are not."""
+    import corpus_pipeline
+
+    listed = jc._listed
+    monkeypatch.setattr(jc, "_listed", lambda sets: listed(sets).where("false"))
+    pairs = [changed_at(seed, (20, 60)) for seed in range(40)]
+    inside = [seed for seed, (x, y) in enumerate(pairs) if reach(x, y)[0] <= 12 and reach(x, y)[1] >= 2]
+    assert any(reach(*pairs[seed])[0] > 2 for seed in inside) and len(inside) > 20
+    rows = [(10 * seed + k, t) for seed, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    out = corpus_pipeline.without_near_duplicates(spark, documents(spark, rows), "")
+    assert {r.doc_id for r in out.collect()} == {i for i, _ in rows} - {10 * seed + 1 for seed in inside}
+
+
+def test_what_fingerprints_miss_is_linked_too(spark):
+    pairs = [changed_at(seed, (20, 60)) for seed in range(200)]
+    missed = [p for p in pairs if reach(*p)[0] > 12 or reach(*p)[1] < 2]
+    assert missed
+    rows = [(2 * i + k, t) for i, p in enumerate(missed) for k, t in enumerate(p)]
+    got = sorted(((r.doc_id, r.component_id) for r in jc.near_duplicates(documents(spark, rows)).collect()), key=str)
+    assert got == plain_groups(rows) and len({c for _, c in got}) == len(missed)
+
+
 @needs_data
 def test_pipeline_against_a_plain_version_with_shingles(spark):
     """All five stages; the third compares the sets of all couples of texts."""

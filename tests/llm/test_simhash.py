@@ -97,6 +97,43 @@ def test_list_links_probe_equals_tally():
     assert groups(sh.list_links(fps, cap=1000)) == groups(sh.list_links(fps, cap=10))
 
 
+def test_set_prints_follow_the_definition():
+    rng = random.Random(6)
+    for n in (1, 2, 99, 70_000):
+        h = [rng.getrandbits(64) for _ in range(n)]
+        assert sh.set_print(np.array(sorted(h), dtype=np.uint64)) == sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > n)
+
+
+def test_near_fingerprints_against_all_couples(spark):
+    """Groups of up to a hundred; lists that go over batches; few pairs of each member, and all."""
+    rng = random.Random(7)
+    prints = {rng.getrandbits(64) for _ in range(300)}
+    for size in (2, 5, 100):
+        centre = rng.getrandbits(64)
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 8))) for _ in range(size)}
+    prints = sorted(sh.signed(p) for p in prints)
+    octets = np.array(prints).view(np.uint8).reshape(-1, 8)
+    bits = [[bin((x ^ y) & (2**64 - 1)).count("1") for y in prints] for x in prints]
+    shared = (octets[:, None, :] == octets[None, :, :]).sum(axis=2)
+    couples = [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints))]
+    expected = {(prints[i], prints[j]) for i, j in couples if bits[i][j] <= 12 and shared[i, j] >= 2}
+    assert {(prints[i], prints[j]) for i, j in couples if bits[i][j] <= 6} < expected
+    fps = spark.createDataFrame([(p,) for p in prints], "fp long")
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for near in (2, 1000):
+            got = [tuple(r) for r in sh.near_fingerprints(fps, near=near).collect()]
+            assert len(got) == len(set(got))
+            if near == 1000:
+                assert set(got) == expected
+            assert set(got) <= expected
+            joined = dict((b, a) for a, b in spanning_forest(got))
+            assert joined == dict((b, a) for a, b in spanning_forest(expected))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def test_one_row_of_each_group_stays(spark):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (2, "A B c  d e"), (4, "quite another text"), (4, "quite another text"), (5, None), (6, ""), (None, "a lone one")]
     out = sh.drop_near_duplicates(documents(spark, rows))
